@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import badrows, hierarchy, multivalue, orphans
+from ..operators import badrows, hierarchy, multivalue, orphans, spatial
 from ..session import table
 
 LIST_FIELDS = ["si_lega_a", "si_appoggia_a", "coperta_da"]
@@ -47,6 +47,36 @@ SELECT campo, unita, count(*) AS volte, count(DISTINCT riga) AS schede FROM (
 WHERE unita IS NOT NULL GROUP BY campo, unita"""
 
 
+# 2. Near points and regions
+
+#: Metres; points of whole millimetres less than this apart lie close together.
+NEAR = 0.0505
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "quote_rilevate").withColumn("senza", F.col("us").isNull())
+    return spatial.near_and_within(q, table(spark, d, "us_poligoni"), NEAR, key="riga", space="sito", ident="id", x="x", y="y", free="senza", unit="us", rings="anelli")
+
+
+P2_SQL = """
+WITH q AS (SELECT riga, id, sito, us, x, y FROM quote_rilevate WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0) AND sito IS NOT NULL),
+g AS (SELECT *, CAST(floor(x / 0.051) AS BIGINT) AS gx, CAST(floor(y / 0.051) AS BIGINT) AS gy FROM q),
+o AS (SELECT i, j FROM range(-1, 2) AS t(i), range(-1, 2) AS u(j)),
+h AS (SELECT g.*, gx + i AS hx, gy + j AS hy FROM g, o),
+r AS (SELECT us, sito, rid, unnest(ring) AS p, unnest(list_concat(ring[2:], ring[1:1])) AS n
+      FROM (SELECT us, sito, riga AS rid, unnest(anelli) AS ring FROM us_poligoni WHERE anelli IS NOT NULL)),
+b AS (SELECT rid, min(p.x) AS x0, max(p.x) AS x1, min(p.y) AS y0, max(p.y) AS y1 FROM r GROUP BY rid),
+k AS (SELECT q.riga, q.x, q.y, u.riga AS rid, u.us FROM q JOIN us_poligoni u ON q.sito = u.sito JOIN b ON b.rid = u.riga
+      WHERE q.us IS NULL AND q.x BETWEEN x0 AND x1 AND q.y BETWEEN y0 AND y1),
+c AS (SELECT k.riga, k.us, k.rid, count(*) AS n FROM k JOIN r ON r.rid = k.rid
+      WHERE (r.p.y > k.y) <> (r.n.y > k.y) AND k.x < (r.n.x - r.p.x) * (k.y - r.p.y) / (r.n.y - r.p.y) + r.p.x
+      GROUP BY ALL)
+SELECT 'vicino' AS caso, a.riga AS a, b.riga AS b FROM h a JOIN g b ON a.sito = b.sito AND a.hx = b.gx AND a.hy = b.gy
+WHERE a.riga < b.riga AND a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 0.0505 * 0.0505
+UNION ALL
+SELECT DISTINCT 'dentro', riga, us FROM c WHERE n % 2 = 1"""
+
+
 # 3. Missing references
 
 
@@ -217,6 +247,7 @@ P5_SQL = _P5 + "\nSELECT riga, motivo FROM m WHERE motivo IS NOT NULL"
 QUERIES = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
@@ -227,6 +258,7 @@ QUERIES = {
 SQL = {
     "p1_found": P1_SQL,
     "p1_frequencies": P1_FREQ_SQL,
+    "p2_found": P2_SQL,
     "p3_found": P3_SQL,
     "p3_report": P3_REPORT_SQL,
     "p4_found": P4_SQL,
