@@ -194,7 +194,8 @@ def enrich(df: DataFrame, layer: DataFrame, key: str, columns: Sequence[str], or
 
 
 def complete(records: DataFrame, plans: DataFrame, key: str) -> DataFrame:
-    """Units with a record, a plan or both: (key, scheda, pianta)."""
+    """Units with a record, a plan or both: (key, scheda, pianta); rows without key are none."""
+    records, plans = records.where(F.col(key).isNotNull()), plans.where(F.col(key).isNotNull())
     r = records.select(key).distinct().withColumn("scheda", F.lit(True))
     p = plans.select(key).distinct().withColumn("pianta", F.lit(True))
     return r.join(p, key, "full_outer").select(key, F.coalesce("scheda", F.lit(False)).alias("scheda"), F.coalesce("pianta", F.lit(False)).alias("pianta"))
@@ -245,7 +246,7 @@ def phase_rollup(df: DataFrame, phase: str, area: str, volume: str | None = None
 def level_extrema(levels: DataFrame) -> DataFrame:
     """Per unit: highest and lowest level, mean crest; ``levels``: (unita, tipo, z) without sentinels."""
     return levels.groupBy("unita").agg(
-        F.max("z").alias("z_max"), F.min("z").alias("z_min"), F.round(F.avg(F.when(F.col("tipo") == "rasatura", F.col("z"))), 4).alias("cresta"), F.count(F.lit(1)).alias("quote")
+        F.max("z").alias("z_max"), F.min("z").alias("z_min"), F.avg(F.when(F.col("tipo") == "rasatura", F.col("z"))).alias("cresta"), F.count(F.lit(1)).alias("quote")
     )
 
 

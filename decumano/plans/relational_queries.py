@@ -251,7 +251,7 @@ def e05_inherited_plans(spark, d):
 
 
 @query(f"""
-WITH p AS (SELECT DISTINCT us AS unita FROM us_poligoni WHERE us IS NOT NULL AND anelli IS NOT NULL), r AS (SELECT DISTINCT context AS unita FROM finds)
+WITH p AS (SELECT DISTINCT us AS unita FROM us_poligoni WHERE us IS NOT NULL AND anelli IS NOT NULL), r AS (SELECT DISTINCT context AS unita FROM finds WHERE context IS NOT NULL)
 SELECT coalesce(p.unita, r.unita) AS unita, r.unita IS NOT NULL AS scheda, p.unita IS NOT NULL AS pianta FROM r FULL JOIN p ON r.unita = p.unita""")
 def e06_complete(spark, d):
     p = table(spark, d, "us_poligoni").where("anelli is not null and us is not null").select(F.col("us").alias("unita"))
@@ -324,9 +324,9 @@ def f01_phase_rollup(spark, d):
     return R.phase_rollup(u, "fase", "area_m2").withColumn("area", F.col("area").cast("double"))
 
 
-@query(f"WITH {LEVELS} SELECT unita, max(z) AS z_max, min(z) AS z_min, round(avg(CASE WHEN tipo = 'rasatura' THEN z END), 4) AS cresta, count(*) AS quote FROM levels GROUP BY unita")
+@query(f"WITH {LEVELS} SELECT unita, max(z) AS z_max, min(z) AS z_min, round(avg(CASE WHEN tipo = 'rasatura' THEN z END) + 1e-9, 4) AS cresta, count(*) AS quote FROM levels GROUP BY unita")
 def f04_level_extrema(spark, d):
-    return R.level_extrema(levels(spark, d))
+    return R.level_extrema(levels(spark, d)).withColumn("cresta", F.round(F.col("cresta") + 1e-9, 4))
 
 
 @query("SELECT lower(trim(definizione, ' ')) AS gruppo, median(area_m2) AS mediana, count(*) AS n FROM us_poligoni WHERE definizione IS NOT NULL AND area_m2 IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
@@ -432,10 +432,10 @@ def f27_unit_summary(spark, d):
     return R.with_total(s.na.fill(0), "unita", ["reperti", "pezzi", "quote", "rapporti"])
 
 
-@query(f"WITH {LEVELS} SELECT unita, max(CASE WHEN tipo = 'sup' THEN z END) AS sup_max, min(CASE WHEN tipo = 'inf' THEN z END) AS inf_min, round(avg(CASE WHEN tipo = 'orlo' THEN z END), 4) AS orlo_medio FROM levels WHERE unita IS NOT NULL GROUP BY unita")
+@query(f"WITH {LEVELS} SELECT unita, max(CASE WHEN tipo = 'sup' THEN z END) AS sup_max, min(CASE WHEN tipo = 'inf' THEN z END) AS inf_min, round(avg(CASE WHEN tipo = 'orlo' THEN z END) + 1e-9, 4) AS orlo_medio FROM levels WHERE unita IS NOT NULL GROUP BY unita")
 def f28_conditional_extrema(spark, d):
     k = lambda t: F.when(F.col("tipo") == t, F.col("z"))
-    return levels(spark, d).where("unita is not null").groupBy("unita").agg(F.max(k("sup")).alias("sup_max"), F.min(k("inf")).alias("inf_min"), F.round(F.avg(k("orlo")), 4).alias("orlo_medio"))
+    return levels(spark, d).where("unita is not null").groupBy("unita").agg(F.max(k("sup")).alias("sup_max"), F.min(k("inf")).alias("inf_min"), F.round(F.avg(k("orlo")) + 1e-9, 4).alias("orlo_medio"))
 
 
 # Ordered steps
