@@ -235,8 +235,9 @@ def canonical(rows: DataFrame, entries: DataFrame, reference: DataFrame) -> Data
     Rows are first counted by value, combined before the shuffle; only distinct values are matched.
     Going back to the rows, values that hold a large share of them meet a broadcast of as few values.
     """
+    rows = rows.select("tabella", "campo", "riga", "lista", "valore")
     fixed: dict[str, list[str]] = defaultdict(list)
-    names = entries.where("lista is not null and canonico is not null").distinct().limit(MAX_TERMS + 1).collect()
+    names = entries.select("lista", "canonico").where("lista is not null and canonico is not null").distinct().limit(MAX_TERMS + 1).collect()
     if len(names) > MAX_TERMS:
         raise ValueError(f"the reference list has more than {MAX_TERMS} entries")
     for r in names:

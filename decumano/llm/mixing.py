@@ -165,12 +165,12 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, text: str
     selection = (
         uses.withColumn("blocco", F.expr(f"(epoch * have + start) div {block}"))
         .join(F.broadcast(slots), ["source", "blocco"])
-        .select(F.col("doc").alias(doc), "source", (F.col("epoch") + 1).cast("bigint").alias("ripetizione"), "token", (F.col("blocco") + 1).alias("blocco"), "posto")
+        .select(F.col("doc").alias(doc), "source", (F.col("epoch") + 1).cast("bigint").alias("ripetizione"), F.col("token").cast("bigint").alias("token"), (F.col("blocco") + 1).alias("blocco"), "posto")
     )
     actual = selection.groupBy("source").agg(F.sum("token").alias("usati"), F.max("ripetizione").alias("ripetizioni"))
     report = (
         targets.where("source is not null").join(F.broadcast(limits.select("source", F.col("have").alias("disponibili"))), "source").join(actual, "source", "left")
         .select("source", "target_share", "max_repeats", "disponibili", F.coalesce("usati", F.lit(0)).alias("usati"), F.coalesce("ripetizioni", F.lit(0)).alias("ripetizioni"))
-        .withColumn("quota", F.col("usati") / F.sum("usati").over(Window.partitionBy()))
+        .withColumn("quota", F.coalesce(F.try_divide("usati", F.sum("usati").over(Window.partitionBy())), F.lit(0.0)))
     )
     return selection, report
