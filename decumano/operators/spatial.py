@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Points that the driver sees to lay out the partitions (they decide the layout only, never a result).
@@ -245,6 +245,24 @@ def layout(points: DataFrame, space: str, x: str, y: str, radius: float) -> Fore
     return Forest.build(np.array(some.column("s").to_pylist(), object).astype(str), some.column("x").to_numpy(), some.column("y").to_numpy(), total, radius)
 
 
+def _bucket() -> Column:
+    return F.crc32(F.col("space").cast("binary"))
+
+
+def in_groups(pts: DataFrame, forest: Forest, radius: float) -> DataFrame:
+    """Points (a, space, x, y, ...) with ``grp`` and ``home``: a row for each group that the circle around them touches."""
+    reach = radius * (1 + 1e-6) + 1e-9
+
+    @F.arrow_udf("array<bigint>")
+    def of_points(s: pa.Array, bucket: pa.Array, salt: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        vx, vy = np.asarray(px), np.asarray(py)
+        return forest.groups(s, np.asarray(bucket), np.asarray(salt), vx - reach, vy - reach, vx + reach, vy + reach, vx, vy)
+
+    salt = F.pmod(F.xxhash64("a"), F.lit(MAX_BLOCKS * 997))
+    code = pts.withColumn("code", F.explode(of_points("space", _bucket(), salt, "x", "y")))
+    return code.select(*pts.columns, F.expr("code % 2 = 1").alias("home"), F.expr("code div 2").alias("grp"))
+
+
 def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key: str, space: str, ident: str, x: str, y: str, free: str, unit: str, rings: str) -> DataFrame:
     """Pairs of close points, and regions that contain points: (caso, a, b).
 
@@ -267,23 +285,13 @@ def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key
         F.col(key).alias("a"), F.col(space).cast("string").alias("space"), F.col(ident).cast("string").alias("ident"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(free), F.lit(False)).alias("free")
     )
     forest = layout(pts, "space", "x", "y", radius)
-    reach = radius * (1 + 1e-6) + 1e-9
-
-    @F.arrow_udf("array<bigint>")
-    def of_points(s: pa.Array, bucket: pa.Array, salt: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
-        vx, vy = np.asarray(px), np.asarray(py)
-        return forest.groups(s, np.asarray(bucket), np.asarray(salt), vx - reach, vy - reach, vx + reach, vy + reach, vx, vy)
 
     @F.arrow_udf("array<bigint>")
     def of_boxes(s: pa.Array, bucket: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
         v = [np.asarray(c) for c in (x0, y0, x1, y1)]
         return forest.groups(s, np.asarray(bucket), np.zeros(len(v[0]), np.int64), *v, v[0], v[1])
 
-    bucket = F.crc32(F.col("space").cast("binary"))
-    left = (
-        pts.withColumn("code", F.explode(of_points("space", bucket, F.pmod(F.xxhash64("a"), F.lit(MAX_BLOCKS * 997)), "x", "y")))
-        .select("a", "space", "ident", "x", "y", "free", F.expr("code % 2 = 1").alias("home"), F.expr("code div 2").alias("grp"))
-    )
+    left = in_groups(pts, forest, radius)
     ring = F.transform(F.filter(rings, lambda r: r.isNotNull()), lambda r: F.filter(r, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull()))
     flat = (
         regions.where(F.col(rings).isNotNull() & F.col(unit).isNotNull() & F.col(space).isNotNull())
@@ -292,7 +300,7 @@ def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key
         .where(F.size("xs") > 2)
         .select("*", F.array_min("xs").alias("x0"), F.array_min("ys").alias("y0"), F.array_max("xs").alias("x1"), F.array_max("ys").alias("y1"))
     )
-    right = flat.withColumn("code", F.explode(of_boxes("space", bucket, "x0", "y0", "x1", "y1"))).withColumn("grp", F.expr("code div 2")).drop("code")
+    right = flat.withColumn("code", F.explode(of_boxes("space", _bucket(), "x0", "y0", "x1", "y1"))).withColumn("grp", F.expr("code div 2")).drop("code")
 
     def search(t: pa.Table, g: pa.Table) -> pa.Table:
         out = []
@@ -301,3 +309,58 @@ def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key
         return pa.concat_tables(out)
 
     return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInArrow(search, "caso string, a bigint, b bigint")
+
+
+def local_statistics(points: DataFrame, radius: float, k: int, *, key: str, space: str, x: str, y: str, z: str) -> DataFrame:
+    """Of each located point with a z: how many others lie within ``radius``, at most the ``k`` nearest, and the median and MAD of their z.
+
+    (a, z, vicini, mediana, mad); ties in distance go to the smaller key. Groups and R-tree as in
+    ``near_and_within``; the search radius starts where about k points are expected and doubles up to
+    ``radius`` for the points that have not found k, so dense places are not searched whole.
+    """
+    pts = located(points.where(F.col(z).isNotNull()), space, x, y).select(F.col(key).alias("a"), F.col(space).cast("string").alias("space"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(z).cast("double").alias("z"))
+    forest = layout(pts, "space", "x", "y", radius)
+
+    def run(t: pa.Table) -> pa.Table:
+        a, px, py, pz, home = (t.column(c).to_numpy() for c in ("a", "x", "y", "z", "home"))
+        s = _codes(t.column("space"))
+        tree = RTree(s, px, py, px, py)
+        probe = np.flatnonzero(home)
+        count, med, mad = np.zeros(len(probe), np.int64), np.full(len(probe), np.nan), np.full(len(probe), np.nan)
+        area = max((px.max() - px.min()) * (py.max() - py.min()), radius**2) if len(px) else 1.0
+        r = min(radius, math.sqrt((k + 1) * area / max(1, len(px)) / math.pi))
+        open_ = np.arange(len(probe))
+        while len(open_):
+            again = []
+            for lo in range(0, len(open_), 4000):
+                part = open_[lo : lo + 4000]
+                i = probe[part]
+                pairs = [np.zeros((2, 0), np.int64), *(np.stack(p) for p in tree.probe(s[i], px[i] - r, py[i] - r, px[i] + r, py[i] + r))]
+                q, n = np.concatenate(pairs, axis=1)
+                d2 = (px[i[q]] - px[n]) ** 2 + (py[i[q]] - py[n]) ** 2
+                ok = (d2 <= r * r) & (n != i[q]) & (a[n] != a[i[q]])
+                q, n, d2 = q[ok], n[ok], d2[ok]
+                o = np.lexsort((a[n], d2, q))
+                q, n = q[o], n[o]
+                got = np.bincount(q, minlength=len(part))
+                rank = np.arange(len(q)) - np.repeat(np.cumsum(got) - got, got)
+                keep = rank < k
+                done = (got >= k) | (r >= radius)
+                zs = np.split(pz[n[keep]], np.cumsum(np.minimum(got, k))[:-1]) if len(part) else []
+                for j in np.flatnonzero(done):
+                    v = zs[j]
+                    count[part[j]] = len(v)
+                    if len(v):
+                        med[part[j]] = np.median(v)
+                        mad[part[j]] = np.median(np.abs(v - med[part[j]]))
+                again.append(part[~done])
+            open_ = np.concatenate(again)
+            r = min(radius, r * 2)
+        return pa.table({"a": pa.array(a[probe], pa.int64()), "z": pa.array(pz[probe]), "vicini": pa.array(count), "mediana": pa.array(med, from_pandas=True), "mad": pa.array(mad, from_pandas=True)})
+
+    return in_groups(pts, forest, radius).groupBy("grp").applyInArrow(run, "a bigint, z double, vicini bigint, mediana double, mad double")
+
+
+def low_outliers(stats: DataFrame, least: int = 4, floor: float = 0.10) -> DataFrame:
+    """Points lower than their neighbours allow: z < median - max(floor, 3 x 1.4826 x MAD), with at least ``least`` neighbours."""
+    return stats.where((F.col("vicini") >= least) & (F.col("z") < F.col("mediana") - F.greatest(F.lit(floor), F.col("mad") * 3 * 1.4826)))
