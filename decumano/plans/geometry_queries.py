@@ -107,11 +107,11 @@ def e19_plans_on_a_trace(spark, d):
 
 @query(f"""
 WITH {EDGES}, b AS (SELECT riga, min(y) AS y0, max(y) AS y1 FROM v GROUP BY riga)
-SELECT e.riga, round(ax + ((y0 + y1) / 2 - ay) / (yb - ay) * (bx - ax), 4) AS x FROM e JOIN b ON e.riga = b.riga WHERE (ay > (y0 + y1) / 2) <> (yb > (y0 + y1) / 2)""")
+SELECT e.riga, round(ax + ((y0 + y1) / 2 - ay) / (yb - ay) * (bx - ax) + 1e-6, 4) AS x FROM e JOIN b ON e.riga = b.riga WHERE (ay > (y0 + y1) / 2) <> (yb > (y0 + y1) / 2)""")
 def n13_section_cuts(spark, d):
     """Where the east-west line through the middle of each plan cuts its outline."""
     b = G.bounds(plans(spark, d), "anelli")
-    return G.section_cut(b, "riga", "anelli", (F.col("y0") + F.col("y1")) / 2).select("riga", F.round("x", 4).alias("x"))
+    return G.section_cut(b, "riga", "anelli", (F.col("y0") + F.col("y1")) / 2).select("riga", F.round(F.col("x") + 1e-6, 4).alias("x"))
 
 
 @query(f"""
