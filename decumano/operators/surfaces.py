@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,26 +54,36 @@ def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray) -> np.ndarray:
 
 
 def delaunay(p: np.ndarray) -> np.ndarray:
-    """Triangles of points (Bowyer-Watson), counter-clockwise; duplicates must be gone."""
+    """Triangles of points (Bowyer-Watson), counter-clockwise; duplicates must be gone.
+
+    All circles are tested at once for each point; slots of triangles that are gone are used again.
+    """
     n = len(p)
     c, s = p.mean(0), max(np.ptp(p, axis=0).max(), 1e-6) * 20
     q = np.vstack([p, c + [-s, -s], c + [s, -s], c + [0, s]])
-    tri = {(n, n + 1, n + 2): _circle(q, n, n + 1, n + 2)}
-    for i in np.lexsort((p[:, 1], p[:, 0])):
-        bad = [t for t, (x, y, r2) in tri.items() if (q[i, 0] - x) ** 2 + (q[i, 1] - y) ** 2 < r2 * (1 + 1e-12)]
+    size = 2 * n + 16
+    tri, cx, cy, r2 = np.full((size, 3), -1, np.int64), np.zeros(size), np.zeros(size), np.full(size, -1.0)
+    free = list(range(size - 1, 0, -1))
+    tri[0] = (n, n + 1, n + 2)
+    cx[0], cy[0], r2[0] = _circle(q, n, n + 1, n + 2)
+    for i in np.lexsort((p[:, 1], p[:, 0])).tolist():
+        bad = np.flatnonzero((cx - q[i, 0]) ** 2 + (cy - q[i, 1]) ** 2 < r2 * (1 + 1e-12))
         edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                k = (min(e), max(e))
+        for a, b, d in tri[bad].tolist():
+            for e in ((a, b), (b, d), (d, a)):
+                k = e if e[0] < e[1] else (e[1], e[0])
                 edges[k] = edges.get(k, 0) + 1
-            del tri[t]
+        r2[bad] = -1.0
+        free.extend(bad.tolist())
         for (a, b), times in edges.items():
-            if times == 1:
-                t = (a, b, int(i))
-                if abs(_cross(q, *t)) > 1e-18:
-                    tri[t] = _circle(q, *t)
-    out = [t for t in tri if max(t) < n]
-    return np.array([t if _cross(q, *t) > 0 else (t[0], t[2], t[1]) for t in out], np.int64).reshape(-1, 3)
+            if times == 1 and abs(_cross(q, a, b, i)) > 1e-18:
+                k = free.pop()
+                tri[k] = (a, b, i)
+                cx[k], cy[k], r2[k] = _circle(q, a, b, i)
+    out = tri[(r2 >= 0) & (tri.max(1) < n)]
+    flip = np.array([_cross(q, *t) < 0 for t in out.tolist()], bool)
+    out[flip] = out[flip][:, [0, 2, 1]]
+    return out
 
 
 def _cross(q: np.ndarray, a: int, b: int, c: int) -> float:
@@ -109,7 +120,7 @@ def area_of(rings: list[np.ndarray]) -> float:
     return out
 
 
-def mesh(rings: list[np.ndarray], most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def mesh(rings: list[np.ndarray], most: int = 350) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and triangles of a plan: outline made dense, a grid inside, triangles outside left out.
 
     The step grows so that a unit has about ``most`` vertices; it decides the fineness, not the extent.
@@ -203,11 +214,11 @@ def build(cls: str, rings: list[np.ndarray], levels: pd.DataFrame) -> dict:
     return {"v": v, "f": f, "top": top, "bottom": bottom, "area": area, "volume": volume, "strategia": how}
 
 
-def reconstruct(plans: DataFrame, levels: DataFrame, most_levels: int = 2000) -> DataFrame:
+def reconstruct(plans: DataFrame, levels: DataFrame, most_levels: int = 400) -> DataFrame:
     """(unita, classe, strategia, vertici, facce, area, volume) of units with a plan and levels.
 
     ``plans``: (unita, classe, anelli), one row a unit; ``levels``: (unita, tipo, x, y, z). A unit's surface has
-    about 1,500 vertices, so levels are first averaged on a grid of their unit fine enough to leave at most
+    some hundred vertices, so levels are first averaged on a grid of their unit fine enough to leave at most
     ``most_levels`` cells a kind: a unit with very many levels neither fills a task nor loses a level.
     """
     ext = levels.where("unita is not null and x is not null and y is not null and z is not null").groupBy(F.col("unita").alias("__u")).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("__s"))
@@ -215,19 +226,25 @@ def reconstruct(plans: DataFrame, levels: DataFrame, most_levels: int = 2000) ->
     cell = levels.where("unita is not null and x is not null and y is not null and z is not null").join(ext, F.col("unita") == F.col("__u")).groupBy("unita", "tipo", F.floor((F.col("x") - F.col("__x")) / side).alias("cx"), F.floor((F.col("y") - F.col("__y")) / side).alias("cy"))
     thin = cell.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")).select("unita", "tipo", "x", "y", "z")
 
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for u, cls, rings in zip(p.unita, p.classe, p.anelli):
-            parts = [np.array([[v["x"], v["y"]] for v in r], float) for r in rings if r is not None and len(r) > 2]
-            if not parts or not len(q):
+    vertex = pa.struct([(c, pa.float64()) for c in ("x", "y", "alto", "basso")])
+    out = pa.schema([("unita", pa.int64()), ("classe", pa.string()), ("strategia", pa.string()), ("vertici", pa.list_(vertex)), ("facce", pa.list_(pa.list_(pa.int32()))), ("area", pa.float64()), ("volume", pa.float64())])
+
+    def run(p: pa.Table, q: pa.Table) -> pa.Table:
+        rows, known = [], q.to_pandas()
+        for r in p.to_pylist() if len(known) else []:
+            parts = [np.array([[v["x"], v["y"]] for v in ring if v and v["x"] is not None and v["y"] is not None], float) for ring in r["anelli"] or [] if ring]
+            parts = [x for x in parts if len(x) > 2]
+            if not parts:
                 continue
-            m = build(cls or "", parts, q)
-            verts = [{"x": float(x), "y": float(y), "alto": float(t), "basso": float(b)} for (x, y), t, b in zip(m["v"], m["top"], m["bottom"])]
-            rows.append((u, cls, m["strategia"], verts, m["f"].tolist(), m["area"], m["volume"]))
-        return pd.DataFrame(rows, columns=["unita", "classe", "strategia", "vertici", "facce", "area", "volume"])
+            m = build(r["classe"] or "", parts, known)
+            verts = [{"x": x, "y": y, "alto": t, "basso": b} for (x, y), t, b in zip(m["v"].tolist(), m["top"].tolist(), m["bottom"].tolist())]
+            rows.append({"unita": r["unita"], "classe": r["classe"], "strategia": m["strategia"], "vertici": verts, "facce": m["f"].tolist(), "area": m["area"], "volume": m["volume"]})
+        return pa.Table.from_pylist(rows, out)
 
     schema = "unita bigint, classe string, strategia string, vertici array<struct<x: double, y: double, alto: double, basso: double>>, facce array<array<int>>, area double, volume double"
-    return plans.select("unita", "classe", "anelli").groupBy("unita").cogroup(thin.groupBy("unita")).applyInPandas(run, schema)
+    # Few bytes but much work a unit: a fixed number of partitions, so that they are not joined into one.
+    parts = max(plans.sparkSession.sparkContext.defaultParallelism * 4, int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return plans.select("unita", "classe", "anelli").repartition(parts, "unita").groupBy("unita").cogroup(thin.repartition(parts, "unita").groupBy("unita")).applyInArrow(run, schema)
 
 
 def snap_bases(built: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFrame:
@@ -242,7 +259,7 @@ def snap_bases(built: DataFrame, edges: DataFrame, cell: float = 0.25) -> DataFr
     return j.groupBy(F.col("a").alias("unita")).agg(F.min(F.col("basso") - F.col("alto")).alias("minimo"), F.sum((F.col("basso") < F.col("alto")).cast("int")).alias("corretto"))
 
 
-def lowering(tiles_first: Iterator[float], tiles_last: Iterator[float]) -> float | None:
+def lowering(first: Sequence[float], last: Sequence[float]) -> float | None:
     """Median difference of two height samples; none with fewer than ten shared ones."""
-    d = [a - b for a, b in zip(tiles_first, tiles_last) if a == a and b == b]
+    d = [a - b for a, b in zip(first, last) if a == a and b == b]
     return float(np.median(d)) if len(d) >= 10 else None
