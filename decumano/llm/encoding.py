@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 LOST = "�"
 #: (name, written in, read as); several pairs are undone from the last to the first.
 PAIRS: list[tuple[str, list[tuple[str, str]]]] = [
@@ -244,7 +246,7 @@ def learn(docs: DataFrame, text: str, rounds: int = ROUNDS) -> dict[str, int]:
     Round 0 counts texts without ill-read UTF-8. Each further round labels all texts by the present
     model and counts again, garbled spans as what they are restored to.
     """
-    src = docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(text)
+    src = spread(docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(text))
     counts: dict[str, int] | None = None
     for _ in range(rounds):
 
@@ -294,4 +296,4 @@ def find_garbled(docs: DataFrame, *, doc: str, text: str, rounds: int = ROUNDS)
                     texts.append(who.restore(t, labels))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(esito, pa.string()), pa.array(pairs, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["d", "esito", "coppie", "testo"])
 
-    return docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(doc, text).mapInArrow(run, schema)
+    return spread(docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(doc, text)).mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Consecutive words of an item that make a leak.
 LEAST_WORDS = 12
 #: Most words of all test items together: the automaton is held by every task. Beyond that the items are taken in parts.
@@ -195,7 +197,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text:
     a shuffle; the items (a held-out set, not the corpus) are built into it on each task.
     """
     schema = T.StructType([docs.schema[doc], items.schema[item], T.StructField("parole", T.LongType()), T.StructField("coperte", T.LongType())])
-    src = docs.where(F.col(text).isNotNull()).select(doc, text)
+    src = spread(docs.where(F.col(text).isNotNull()).select(doc, text))
     out = None
     for part in _items(items, item, text):
 

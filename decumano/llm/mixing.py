@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, spread
 
 #: A vocabulary file of the ``tokenizers`` library; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -35,7 +35,7 @@ def token_counts(docs: DataFrame, text: str, tokenizer: str = TOKENIZER, name: s
             out.extend(len(e.ids) for e in tok.encode_batch_fast([t or "" for t in rows[k : k + 256]], add_special_tokens=False))
         return pa.array(out, pa.int64())
 
-    return docs.withColumn(name, count(text))
+    return spread(docs).withColumn(name, count(text))
 
 
 def _tokenizer(path: str, memo: dict = {}):  # noqa: B006 - one a worker
