@@ -144,7 +144,7 @@ def keep_values(df: DataFrame, column: str, values: Sequence[str], exclude: bool
 def clean_relations(rel: DataFrame, units: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Without relations of a unit to itself or to a unit outside the set."""
     u = units.select(F.col("unita")).distinct()
-    return rel.where(F.col(a) != F.col(b)).join(u.withColumnRenamed("unita", a), a, "left_semi").join(u.withColumnRenamed("unita", b), b, "left_semi")
+    return rel.where(F.col(a) != F.col(b)).join(u.withColumnRenamed("unita", a), a, "left_semi").join(u.withColumnRenamed("unita", b), b, "left_semi").select(*rel.columns)
 
 
 def crop(points: DataFrame, plans: DataFrame, by: Sequence[str], buffer: float = 20.0) -> DataFrame:

@@ -137,6 +137,6 @@ def n15_far_levels(spark, d):
     return G.far_levels(levels(spark, d).select("riga", "unita", "x", "y"), p).select("riga", F.round("distanza", 3).alias("distanza"))
 
 
-@query("SELECT * FROM (VALUES (0.0, 0.0), (0.25, 0.15625), (0.5, 0.5), (1.0, 1.0), (1.5, 1.0), (-1.0, 0.0)) t(x, y)")
+@query("SELECT x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0.0, 0.0), (0.25, 0.15625), (0.5, 0.5), (1.0, 1.0), (1.5, 1.0), (-1.0, 0.0)) t(x, y)")
 def k18_smoothstep(spark, d):
     return spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,), (1.5,), (-1.0,)], "x double").select("x", S.smoothstep(F.col("x")).alias("y"))

@@ -70,7 +70,7 @@ _TYPED = ["us", "tipo", "fase", "area_m2", "ordine", "munsell", "scavata"]
 
 
 @query(
-    "WITH x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS colonna, nullif(trim({c}::VARCHAR), '') AS v FROM us_poligoni" for c in _TYPED) + """),
+    "WITH x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS colonna, nullif(trim({c}::VARCHAR, ' '), '') AS v FROM us_poligoni" for c in _TYPED) + """),
 n AS (SELECT colonna, v, TRY_CAST(v AS DOUBLE) AS f FROM x),
 g AS (SELECT colonna, count(v) AS pieni, count(f) AS numerici, count(CASE WHEN f = floor(f) THEN 1 END) AS interi, count(DISTINCT v) AS distinti FROM n GROUP BY colonna)
 SELECT *, CASE WHEN pieni = 0 THEN 'vuota' WHEN interi = pieni THEN 'intero' WHEN numerici = pieni THEN 'numero' ELSE 'testo' END AS tipo FROM g"""
@@ -220,7 +220,7 @@ def e01_lookup_chain(spark, d):
 
 
 @query("""
-WITH l AS (SELECT us, arg_min(nullif(trim(periodo), ''), riga) FILTER (nullif(trim(periodo), '') IS NOT NULL) AS p FROM us_poligoni GROUP BY us)
+WITH l AS (SELECT us, arg_min(nullif(trim(periodo, ' '), ''), riga) FILTER (nullif(trim(periodo, ' '), '') IS NOT NULL) AS p FROM us_poligoni GROUP BY us)
 SELECT u.riga, coalesce(nullif(trim(u.periodo), ''), l.p) AS periodo FROM us_poligoni u LEFT JOIN l ON u.us = l.us""")
 def e02_enrich(spark, d):
     u = table(spark, d, "us_poligoni").select("riga", "us", "periodo")
@@ -259,9 +259,9 @@ def e06_complete(spark, d):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT lower(trim(material)) AS m, material AS canonico FROM finds WHERE material = upper(material[1:1]) || lower(material[2:])),
+WITH c AS (SELECT DISTINCT lower(trim(material, ' ')) AS m, material AS canonico FROM finds WHERE material = upper(material[1:1]) || lower(material[2:])),
 d AS (SELECT m, min(canonico) AS canonico FROM c GROUP BY m)
-SELECT riga, d.canonico FROM finds LEFT JOIN d ON lower(trim(material)) = d.m""")
+SELECT riga, d.canonico FROM finds LEFT JOIN d ON lower(trim(material, ' ')) = d.m""")
 def e11_normalised_names(spark, d):
     f = table(spark, d, "finds").select("riga", "material")
     tidy = F.concat(F.upper(F.substring("material", 1, 1)), F.lower(F.expr("substring(material, 2)")))
@@ -491,7 +491,7 @@ def g08_first_last_level(spark, d):
 
 
 @query("""
-WITH b AS (SELECT riga, coalesce(nullif(trim(ambiente), ''), 'Vano ' || row_number() OVER (PARTITION BY nullif(trim(ambiente), '') IS NOT NULL ORDER BY riga)) AS b FROM us_poligoni),
+WITH b AS (SELECT riga, coalesce(nullif(trim(ambiente, ' '), ''), 'Vano ' || row_number() OVER (PARTITION BY nullif(trim(ambiente, ' '), '') IS NOT NULL ORDER BY riga)) AS b FROM us_poligoni),
 k AS (SELECT riga, b, row_number() OVER (PARTITION BY b ORDER BY riga) AS k FROM b)
 SELECT riga, CASE WHEN k = 1 THEN b ELSE b || ' (' || k || ')' END AS etichetta FROM k""")
 def g09_unique_labels(spark, d):
