@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +48,7 @@ LEAST_CONTEXT, DISCOUNT = 20, 0.0003
 MAX_CONTEXTS = 100_000
 ROUNDS = 3
 
-_RUN = regex.compile(r"[^\x00-\x7f]+")
+_RUN = re.compile(r"[^\x00-\x7f]+")
 
 
 def _tables() -> dict[str, tuple[list[str], dict[str, int]]]:
@@ -186,12 +186,15 @@ class Labeller:
                 self.memo[key] = got
         return got
 
-    def label(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, state) of each run; [] stands for a text that is clean throughout."""
-        runs = [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    def label(self, text: str, found: list[tuple] | None = None) -> list[tuple[int, int, int]]:
+        """(start, end, state) of each run; [] stands for a text that is clean throughout.
+
+        ``found``: the ``runs_of`` the text, where they are known already.
+        """
+        runs = runs_of(text) if found is None else found
         if not runs:
             return []
-        em = [self.emission(text[b:e], _context(text, b, e)) for b, e in runs]
+        em = [self.emission(run, ctx) for _, _, run, ctx in runs]
         # No other path can make up for its first change of state: the clean path is the best one.
         if sum(g for _, g in em) < -SWITCH_LINE:
             return []
@@ -210,7 +213,7 @@ class Labeller:
             at = int(b[at])
             states.append(at)
         states.reverse()
-        return [(*r, s) for r, s in zip(runs, states)] if any(states) else []
+        return [(b, e, s) for (b, e, _, _), s in zip(runs, states)] if any(states) else []
 
     def restore(self, text: str, labels: list[tuple[int, int, int]]) -> str:
         """The text with the inverse of its state applied to each run; what is lost stays as it is."""
@@ -224,20 +227,33 @@ class Labeller:
         return "".join(out)
 
 
-def _count(text: str, c: Counter) -> None:
-    for m in _RUN.finditer(text):
-        if LOST in m.group():
+def runs_of(text: str) -> list[tuple[int, int, str, tuple[str, str, str, str]]]:
+    """(start, end, run, context) of each run of non-ASCII characters."""
+    return [(m.start(), m.end(), m.group(), _context(text, m.start(), m.end())) for m in _RUN.finditer(text)]
+
+
+def _letters(runs: Counter) -> Counter:
+    """Counts of the letter model from counts of runs with their contexts."""
+    c: Counter = Counter()
+    for (run, ctx), n in runs.items():
+        if LOST in run:
             continue
-        for p2, p1, x, n1, n2 in grams(m.group(), _context(text, m.start(), m.end())):
-            c["5" + p2 + p1 + x + n1 + n2] += 1
-            c["3" + p1 + x + n1] += 1
-            c["k" + _kind(p1) + x + _kind(n1)] += 1
-            c["1" + x] += 1
+        for p2, p1, x, n1, n2 in grams(run, ctx):
+            c["5" + p2 + p1 + x + n1 + n2] += n
+            c["3" + p1 + x + n1] += n
+            c["k" + _kind(p1) + x + _kind(n1)] += n
+            c["1" + x] += n
+    return c
 
 
-def _structural(text: str) -> bool:
-    """A run that is well-formed UTF-8 read as something else: left out of the first count."""
-    return any(undo(m.group(), steps) is not None for m in _RUN.finditer(text) if len(m.group()) > 1 for _, steps in PAIRS[:8])
+def _structural(run: str, memo: dict[str, bool]) -> bool:
+    """A run that is well-formed UTF-8 read as something else: texts with one are left out of the first count."""
+    got = memo.get(run)
+    if got is None:
+        got = len(run) > 1 and any(undo(run, steps) is not None for _, steps in PAIRS[:8])
+        if len(memo) < 300_000:
+            memo[run] = got
+    return got
 
 
 def learn(docs: DataFrame, text: str, rounds: int = ROUNDS) -> dict[str, int]:
@@ -251,16 +267,19 @@ def learn(docs: DataFrame, text: str, rounds: int = ROUNDS) -> dict[str, int]:
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], now: dict | None = counts) -> Iterator[pa.RecordBatch]:
-            c: Counter = Counter()
+            runs: Counter = Counter()
+            memo: dict[str, bool] = {}
             who = Labeller(Letters(now)) if now is not None else None
             for b in batches:
                 for t in b.column(0).to_pylist():
+                    found = runs_of(t)
                     if who is None:
-                        if not _structural(t):
-                            _count(t, c)
-                    else:
-                        labels = who.label(t)
-                        _count(who.restore(t, labels) if labels else t, c)
+                        if any(_structural(r[2], memo) for r in found):
+                            continue
+                    elif labels := who.label(t, found):
+                        found = runs_of(who.restore(t, labels))
+                    runs.update((r[2], r[3]) for r in found)
+            c = _letters(runs)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["gram", "n"])
 
         got = src.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_CONTEXTS).collect()
