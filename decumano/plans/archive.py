@@ -225,7 +225,6 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return good.withColumn("context_number", F.regexp_replace(F.trim("context_number"), r"\.0$", "").cast("bigint"))
 
 
-_F = """("([^"]|"")*"|[^"' || s || ']*)"""
 _P5 = f"""
 WITH r AS (SELECT riga, testo, CASE WHEN sep = '|' THEN '[|]' WHEN sep = chr(9) THEN '\\t' ELSE sep END AS s FROM contextdata_righe),
 h AS (SELECT * FROM r WHERE NOT regexp_matches(testo, '^\\s*"?\\s*Context Number\\s*"?\\s*(' || s || '|$)')),
@@ -244,6 +243,21 @@ m AS (
 P5_SQL = _P5 + "\nSELECT riga, motivo FROM m WHERE motivo IS NOT NULL"
 
 
+def _loaded(sep: str, regex_sep: str) -> str:
+    """The six fields of the good records of one separator."""
+    own = "\\t" if sep == "\t" else sep
+    field = f'("(?:[^"]|"")*"|[^"{own}]*)'
+    pattern = "^" + regex_sep.join([field] * 6) + "$"
+    cell = lambda c: f"CASE WHEN f.{c} LIKE '\"%' THEN replace(f.{c}[2:-2], '\"\"', '\"') ELSE f.{c} END"
+    names = CONTEXT_COLUMNS
+    first = f"CAST(regexp_replace(trim({cell(names[0])}), '[.]0$', '') AS BIGINT) AS context_number"
+    return f"""SELECT riga, {first}, {", ".join(f"{cell(c)} AS {c}" for c in names[1:])}
+FROM (SELECT riga, regexp_extract(testo, '{pattern}', {names!r}, 's') AS f FROM m WHERE motivo IS NULL AND s = '{regex_sep}')"""
+
+
+P5_LOADED_SQL = _P5 + "\n" + "\nUNION ALL\n".join(_loaded(x, y) for x, y in ((",", ","), (";", ";"), ("|", "[|]"), ("\t", "\\t")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
@@ -264,4 +278,5 @@ SQL = {
     "p4_found": P4_SQL,
     "p4_descendants": P4_DESC_SQL,
     "p5_found": P5_SQL,
+    "p5_loaded": P5_LOADED_SQL,
 }

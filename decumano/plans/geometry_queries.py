@@ -70,7 +70,13 @@ def e18_heights_by_distance(spark, d):
     return G.idw(G.nearest(t, p, 12, 2.0)).select("id", F.round("z", 3).alias("z"), F.round("d_min", 4).alias("d_min"), "n")
 
 
-@query()
+@query(f"""
+WITH {LEVELS}, p AS (SELECT riga, sito, x, y, z, CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy FROM levels WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
+o AS (SELECT i, j FROM range(-1, 2) AS t(i), range(-1, 2) AS u(j)), t AS (SELECT p.riga, p.sito, p.x, p.y, p.z, gx + i AS gx, gy + j AS gy FROM p, o),
+n AS (SELECT t.riga, t.z, q.z AS nz, row_number() OVER (PARTITION BY t.riga ORDER BY (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), q.riga) AS k
+  FROM t JOIN p q ON t.sito = q.sito AND t.gx = q.gx AND t.gy = q.gy WHERE t.riga <> q.riga AND (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) <= 1),
+k AS (SELECT riga, z, nz, median(nz) OVER (PARTITION BY riga) AS m FROM n WHERE k <= 12)
+SELECT riga, count(*) AS vicini, round(any_value(m), 4) AS mediana FROM k GROUP BY riga HAVING count(*) >= 4 AND any_value(z) < any_value(m) - greatest(0.10, median(abs(nz - m)) * 3 * 1.4826)""")
 def d06_low_outliers(spark, d):
     """Levels lower than the 12 nearest within 1 m allow."""
     st = spatial.local_statistics(levels(spark, d), 1.0, 12, key="riga", space="sito", x="x", y="y", z="z")

@@ -129,7 +129,11 @@ def j12_condensed(spark, d):
     return G.condense(g.where("a <> b").distinct(), pairs.limit(0))[0]
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PARTS}, {_CLOSURE}, m AS (SELECT p_partkey AS nodo FROM part WHERE p_partkey % 7 = 0 AND p_partkey > 0),
+v AS (SELECT a, b FROM w WHERE a IN (SELECT nodo FROM m) AND b IN (SELECT nodo FROM m)),
+l(nodo, fase) AS (SELECT nodo, 0 FROM m WHERE nodo NOT IN (SELECT a FROM v) UNION SELECT v.a, l.fase + 1 FROM l JOIN v ON v.b = l.nodo)
+SELECT nodo, nodo AS gruppo, CAST(max(fase) AS BIGINT) AS fase FROM l GROUP BY nodo""")
 def j13_wall_phases(spark, d):
     e, p = parts_graph(spark, d)
     return G.wall_phases(e, p, table(spark, d, "part").where("p_partkey % 7 = 0 and p_partkey > 0").select(F.col("p_partkey").alias("nodo")))

@@ -106,7 +106,9 @@ def c08_local_frames(spark, d):
     return R.local_frame(levels(spark, d), ["sito"])
 
 
-@query()
+@query("""
+SELECT '{' || array_to_string(list_filter(['"riga":' || riga, '"context":' || context, '"material":' || to_json(material)::VARCHAR, '"object_name":' || to_json(object_name)::VARCHAR,
+  '"object_count":' || object_count, '"weight":' || round(weight, 3), '"registrato":"' || strftime(registrato AT TIME ZONE 'UTC', '%d/%m/%Y') || '"'], lambda x: x IS NOT NULL), ',') || '}' AS json FROM finds""")
 def c09_json_rows(spark, d):
     return R.json_rows(table(spark, d, "finds"))
 
