@@ -71,6 +71,16 @@ P7_SQL = (
     "SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (g)"
 )
 
+#: Longest run: consecutive places in document and item on one diagonal, each of twelve words.
+P7_ITEMS_SQL = (
+    "WITH d AS (" + _WINDOWS.format(key="doc_id", norm=_NORM.format("text"), table="documents").replace("AS g", "AS g, i") + "),\n"
+    "t AS (" + _WINDOWS.format(key="item_id", norm=_NORM.format("text"), table="test_items").replace("AS g", "AS g, i") + "),\n"
+    "m AS (SELECT doc_id, item_id, d.i AS i, d.i - t.i AS diagonale FROM d JOIN t USING (g)),\n"
+    "r AS (SELECT doc_id, item_id, diagonale, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonale ORDER BY i) AS isola FROM m),\n"
+    "l AS (SELECT doc_id, item_id, count(*) + 11 AS parole FROM r GROUP BY doc_id, item_id, diagonale, isola)\n"
+    "SELECT item_id, count(DISTINCT doc_id) AS documenti, max(parole) AS parole_max FROM l GROUP BY item_id"
+)
+
 
 # 8. Source mix
 
@@ -115,4 +125,5 @@ QUERIES = {
 }
 SQL = {
     "p7_found": P7_SQL,
+    "p7_items": P7_ITEMS_SQL,
 }
