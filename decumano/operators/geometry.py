@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
 from .skew import skew_left_join
 
 
@@ -77,7 +80,29 @@ def nearest(targets: DataFrame, points: DataFrame, k: int, radius: float) -> Dat
     return j.withColumn("posto", F.row_number().over(Window.partitionBy("id").orderBy("d", "riga"))).where(F.col("posto") <= k).select("id", "riga", "z", "d", "posto")
 
 
-def idw(near: DataFrame, smooth: float = 0.05) -> DataFrame:
+def nearest_of_all(targets: DataFrame, points: DataFrame, k: int, radius: float, grow: float = 4.0) -> DataFrame:
+    """As ``nearest``, with no limit of distance: the k nearest points of the whole space, or all it has.
+
+    The first ring is ``radius``; targets that have neither k points nor all of their space go on with a
+    ring ``grow`` times wider, so the rounds grow with the log of the farthest distance. Points and targets
+    with a coordinate that is null, NaN or infinite are left out, as no ring reaches them.
+    """
+    finite = lambda df: df.where(" and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in ("x", "y")))
+    p = cut(finite(points).where("space is not null").select("riga", "space", "x", "y", "z"))
+    need = p.groupBy(F.col("space").alias("__s")).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("__need"))
+    t = finite(targets)
+    open_ = cut(t.join(need, t.space == need["__s"]).select("id", "space", "x", "y", "__need"))
+    parts = []
+    while not parts or not open_.isEmpty():
+        near = cut(nearest(open_, p, k, radius))
+        done = near.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).join(open_.select(F.col("id").alias("__id"), "__need"), "__id").where("__n >= __need").select("__id")
+        parts.append(near.join(done, F.col("id") == F.col("__id"), "left_semi"))
+        open_ = cut(open_.join(done, F.col("id") == F.col("__id"), "left_anti"))
+        radius *= grow
+    return reduce(DataFrame.unionByName, parts)
+
+
+def idw(near: DataFrame, smooth: float = 2.0) -> DataFrame:
     """Inverse-distance estimate of each target: weights 1 / (d^2 + s^2), with the nearest distance."""
     w = 1 / (F.col("d") * F.col("d") + smooth * smooth)
     return near.groupBy("id").agg((F.sum(F.col("z") * w) / F.sum(w)).alias("z"), F.min("d").alias("d_min"), F.count(F.lit(1)).alias("n"))

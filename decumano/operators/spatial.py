@@ -315,8 +315,9 @@ def local_statistics(points: DataFrame, radius: float, k: int, *, key: str, spac
     """Of each located point with a z: how many others lie within ``radius``, at most the ``k`` nearest, and the median and MAD of their z.
 
     (a, z, vicini, mediana, mad); ties in distance go to the smaller key. Groups and R-tree as in
-    ``near_and_within``; the search radius starts where about k points are expected and doubles up to
-    ``radius`` for the points that have not found k, so dense places are not searched whole.
+    ``near_and_within``; the search radius starts where about k points are expected over the fine cells
+    that hold points (so stray coordinates don't stretch it) and doubles up to ``radius`` for the points
+    that have not found k, so dense places are not searched whole.
     """
     pts = located(points.where(F.col(z).isNotNull()), space, x, y).select(F.col(key).alias("a"), F.col(space).cast("string").alias("space"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(z).cast("double").alias("z"))
     forest = layout(pts, "space", "x", "y", radius)
@@ -327,7 +328,8 @@ def local_statistics(points: DataFrame, radius: float, k: int, *, key: str, spac
         tree = RTree(s, px, py, px, py)
         probe = np.flatnonzero(home)
         count, med, mad = np.zeros(len(probe), np.int64), np.full(len(probe), np.nan), np.full(len(probe), np.nan)
-        area = max((px.max() - px.min()) * (py.max() - py.min()), radius**2) if len(px) else 1.0
+        side = radius / 32
+        area = len(np.unique(np.stack([s, np.floor(px / side), np.floor(py / side)]), axis=1).T) * side**2
         r = min(radius, math.sqrt((k + 1) * area / max(1, len(px)) / math.pi))
         open_ = np.arange(len(probe))
         while len(open_):

@@ -63,11 +63,11 @@ n AS (SELECT t.id, p.riga, p.z, sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) AS d
 k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, riga) <= 12)
 SELECT id, round(sum(z / (d * d + 0.0025)) / sum(1 / (d * d + 0.0025)), 3) AS z, round(min(d), 4) AS d_min, count(*) AS n FROM k GROUP BY id""")
 def e18_heights_by_distance(spark, d):
-    """Height at the middle of each plan, from the 12 nearest levels within 2 m."""
+    """Height at the middle of each plan, from the 12 nearest levels of its site, however far, or all it has."""
     v = plans(spark, d).select(F.col("riga").alias("id"), F.col("sito").alias("space"), F.explode(F.flatten("anelli")).alias("p"))
     t = v.groupBy("id", "space").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
     p = spatial.located(levels(spark, d), "sito", "x", "y").withColumnRenamed("sito", "space")
-    return G.idw(G.nearest(t, p, 12, 2.0)).select("id", F.round("z", 3).alias("z"), F.round("d_min", 4).alias("d_min"), "n")
+    return G.idw(G.nearest_of_all(t, p, 12, 2.0)).select("id", F.round("z", 3).alias("z"), F.round("d_min", 4).alias("d_min"), "n")
 
 
 @query(f"""
@@ -78,8 +78,8 @@ n AS (SELECT t.riga, t.z, q.z AS nz, row_number() OVER (PARTITION BY t.riga ORDE
 k AS (SELECT riga, z, nz, median(nz) OVER (PARTITION BY riga) AS m FROM n WHERE k <= 12)
 SELECT riga, count(*) AS vicini, round(any_value(m), 4) AS mediana FROM k GROUP BY riga HAVING count(*) >= 4 AND any_value(z) < any_value(m) - greatest(0.10, median(abs(nz - m)) * 3 * 1.4826)""")
 def d06_low_outliers(spark, d):
-    """Levels lower than the 12 nearest within 1 m allow."""
-    st = spatial.local_statistics(levels(spark, d), 1.0, 12, key="riga", space="sito", x="x", y="y", z="z")
+    """Levels lower than the 12 nearest within 15 m allow."""
+    st = spatial.local_statistics(levels(spark, d), 15.0, 12, key="riga", space="sito", x="x", y="y", z="z")
     return spatial.low_outliers(st).select(F.col("a").alias("riga"), "vicini", F.round("mediana", 4).alias("mediana"))
 
 

@@ -1,6 +1,8 @@
 """Literal cases of the reference operators, and every query against its SQL on the smallest tables."""
 
+import math
 import os
+import statistics
 
 import duckdb
 import numpy as np
@@ -150,6 +152,37 @@ def test_local_outliers(spark):
     assert [r.a for r in spatial.low_outliers(st).collect()] == [200]
 
 
+def _archive(spark, tmp_path, levels, squares):
+    """Tables of levels (riga, us, sito, tipo, x, y, z) and of square plans (riga, us, sito, x, y)."""
+    spark.createDataFrame(levels, "riga bigint, us bigint, sito string, tipo string, x double, y double, z double").write.parquet(str(tmp_path / "quote_rilevate.parquet"))
+    plans = [(r, u, s, [[(x - 1, y - 1), (x + 1, y - 1), (x + 1, y + 1), (x - 1, y + 1)]]) for r, u, s, x, y in squares]
+    spark.createDataFrame(plans, "riga bigint, us bigint, sito string, anelli array<array<struct<x:double,y:double>>>").write.parquet(str(tmp_path / "us_poligoni.parquet"))
+    return str(tmp_path)
+
+
+def test_outliers_of_sparse_levels_by_brute_force(spark, tmp_path):
+    q = [(i, None, "a", "sup", i % 6 * 4.0 + 0.5, i // 6 * 4.0 + 0.3 + i * 0.01, 5.0 + i % 3 * 0.01 - (i == 14)) for i in range(36)] + [(99, None, "a", "sup", 1e6, 1e6, -5.0)]
+    want = {}
+    for r, *_, x, y, z in q:
+        near = [n[6] for _, n in sorted((((n[4] - x) ** 2 + (n[5] - y) ** 2, n[0]), n) for n in q if n[0] != r) if math.dist((n[4], n[5]), (x, y)) <= 15][:12]
+        if len(near) >= 4 and z < statistics.median(near) - max(0.1, 3 * 1.4826 * statistics.median(abs(v - statistics.median(near)) for v in near)):
+            want[r] = len(near)
+    got = __spark_entry__.queries()["d06_low_outliers"](spark, _archive(spark, tmp_path, q, []))
+    assert want == {14: 12} and {r.riga: r.vicini for r in got.collect()} == want
+
+
+def test_heights_from_far_levels_by_brute_force(spark, tmp_path):
+    q = [(i, None, "a", "sup", i % 5 * 9.0 + 0.5, i // 5 * 9.0 + i * 0.01, 5.0 + i * 0.1) for i in range(20)] + [(50 + i, None, "b", "sup", 1.0 + i, 2.0, 3.0 + i) for i in range(3)] + [(60, None, "a", "sup", math.inf, 1.0, 9.0)]
+    plans = [(1, 1, "a", 10.0, 10.0), (2, 2, "a", 5000.0, -3000.0), (3, 3, "b", 4.0, 4.0), (4, 4, "c", 0.0, 0.0)]
+    want = {}
+    for r, _, s, x, y in plans[:3]:
+        near = sorted((math.dist((n[4], n[5]), (x, y)), n[0], n[6]) for n in q if n[2] == s and n[4] < math.inf)[:12]
+        w = [1 / (n[0] ** 2 + 4) for n in near]
+        want[r] = (round(sum(a * n[2] for a, n in zip(w, near, strict=True)) / sum(w), 3), round(near[0][0], 4), len(near))
+    got = __spark_entry__.queries()["e18_heights_by_distance"](spark, _archive(spark, tmp_path, q, plans))
+    assert {r.id: (r.z, r.d_min, r.n) for r in got.collect()} == want
+
+
 def test_vocabulary_recipe_and_state(spark):
     v = vocabulary.Vocabulary()
     assert v.recognise("Context Number")[0][0] == "unita" and v.recognise("Interpretazion")[0][0] == "definizione" and v.recognise("zzz") == []
