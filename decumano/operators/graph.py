@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalar import CONTEMPORARY, DIRECT, relation_of
@@ -161,11 +164,71 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("nodo")).agg(F.least(F.min("b"), F.col("nodo")).alias("gruppo"))
 
 
+def strong_components_by_search(edges: DataFrame) -> DataFrame:
+    """As ``strong_components``, without the pairs of a closure, which a large component would square.
+
+    Each weakly connected part of the cyclic core is searched depth first by one task (Tarjan), in memory
+    that grows with the edges of that part; parts run side by side.
+    """
+    core = cyclic_core(edges)
+    parts = components(core)
+    e = core.join(parts, F.col("a") == F.col("nodo")).select("gruppo", "a", "b")
+    schema = T.StructType([T.StructField("nodo", edges.schema["a"].dataType), T.StructField("gruppo", edges.schema["a"].dataType)])
+
+    def run(t: pa.Table) -> pa.Table:
+        out = _tarjan(t.column("a").to_numpy(), t.column("b").to_numpy())
+        return pa.table({n: pa.array(c, t.schema.field("a").type) for n, c in zip(("nodo", "gruppo"), out, strict=True)})
+
+    return e.groupBy("gruppo").applyInArrow(run, schema)
+
+
+def _tarjan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least member of their component) of the nodes in strong components of two or more."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, tail, head = len(nodes), code[: len(a)], code[len(a) :]
+    nxt = head[np.argsort(tail, kind="stable")].tolist()
+    start = np.searchsorted(np.sort(tail), np.arange(n + 1)).tolist()
+    at, order, low, comp = start[:-1], [-1] * n, [0] * n, [-1] * n
+    seen, open_ = 0, []
+    for root in range(n):
+        if order[root] >= 0:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if order[v] < 0:
+                order[v] = low[v] = seen
+                seen += 1
+                open_.append(v)
+            if at[v] < start[v + 1]:
+                w = nxt[at[v]]
+                at[v] += 1
+                if order[w] < 0:
+                    way.append(w)
+                elif comp[w] < 0:
+                    low[v] = min(low[v], order[w])
+                continue
+            way.pop()
+            if way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+            if low[v] == order[v]:
+                k = len(open_) - 1
+                while open_[k] != v:
+                    k -= 1
+                least = min(open_[k:])
+                for w in open_[k:]:
+                    comp[w] = least
+                del open_[k:]
+    c = np.array(comp, np.int64)
+    many = np.bincount(c, minlength=n)[c] > 1
+    return nodes[many], nodes[c[many]]
+
+
 def condense(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, groups) without cycles: contemporary units contracted first, then each cycle to its least member."""
     first = components(pairs)
     e = cut(contract(edges, first))
-    cyc = strong_components(e)
+    cyc = cut(strong_components_by_search(e))
     groups = (
         first.join(cyc.select(F.col("nodo").alias("__n"), F.col("gruppo").alias("__g")), F.col("gruppo") == F.col("__n"), "left")
         .select("nodo", F.coalesce("__g", "gruppo").alias("gruppo"))

@@ -126,7 +126,7 @@ def j12_condensed(spark, d):
     """The archive's links with contemporary units and cycles contracted: no cycle is left."""
     g = table(spark, d, "grafo").select("a", "b").unionByName(table(spark, d, "relations").where("principale").select(F.col("context").alias("a"), F.col("related_context").alias("b")))
     pairs = normal(spark, d)[1]
-    return G.condense(g.where("a <> b").distinct(), pairs.limit(0))[0]
+    return G.condense(g.where("a <> b").distinct(), pairs)[0]
 
 
 @query(f"""

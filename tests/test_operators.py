@@ -152,6 +152,21 @@ def test_local_outliers(spark):
     assert [r.a for r in spatial.low_outliers(st).collect()] == [200]
 
 
+def test_archive_condensed_with_contemporary_units(spark, tmp_path):
+    """1 over 2, 2 equal to 3, 3 over 1: the pair closes the cycle; 5 and 6 are bonded, so one unit."""
+    spark.createDataFrame([(1, 2), (3, 1), (2, 4), (5, 7), (8, 6)], "a bigint, b bigint").write.parquet(str(tmp_path / "grafo.parquet"))
+    rel = [(1, 2, "uguale a", 3, False), (2, 6, "si lega a", 5, False), (3, 4, "copre", 9, True)]
+    spark.createDataFrame(rel, "riga bigint, context bigint, relation string, related_context bigint, principale boolean").write.parquet(str(tmp_path / "relations.parquet"))
+    got = __spark_entry__.queries()["j12_condensed"](spark, str(tmp_path))
+    assert rows(got) == [(1, 4), (4, 9), (5, 7), (8, 5)]
+
+
+def test_strong_components_by_search_equal_closure(spark):
+    e = edges(spark, [(i * 7 % 60, i * 11 % 53) for i in range(90)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103), (105, 100), (104, 106)])
+    want = rows(graph.strong_components(e))
+    assert want and rows(graph.strong_components_by_search(e)) == want
+
+
 def _archive(spark, tmp_path, levels, squares):
     """Tables of levels (riga, us, sito, tipo, x, y, z) and of square plans (riga, us, sito, x, y)."""
     spark.createDataFrame(levels, "riga bigint, us bigint, sito string, tipo string, x double, y double, z double").write.parquet(str(tmp_path / "quote_rilevate.parquet"))
