@@ -35,8 +35,11 @@ def without_sentinels(c: Column, sentinels: Sequence[float] = SENTINELS) -> Colu
 
 
 def unit_number(c: Column) -> Column:
-    """The first run of one to seven digits of an identifier: 1005, 'US 1005', '1005.0' are 1005."""
-    return F.regexp_extract(c.cast("string"), r"([0-9]{1,7})", 1).try_cast("bigint")
+    """The number of a unit: whole numbers as they are, of a text the first run of one to eighteen digits.
+
+    1005, 'US 1005' and '1005.0' are 1005. Text is cut at eighteen digits only, which a BIGINT holds.
+    """
+    return F.coalesce(c.cast("string").try_cast("bigint"), F.regexp_extract(c.cast("string"), r"([0-9]{1,18})", 1).try_cast("bigint"))
 
 
 def number(c: Column) -> Column:
@@ -110,58 +113,80 @@ def overlap_share(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return w * h / ((b[2] - b[0]) * (b[3] - b[1]))
 
 
-#: Phrases of a relation -> (canonical relation, swap ends). Written for the five languages of the archive.
-RELATION_PHRASES: dict[str, tuple[str, bool]] = {
-    "copre": ("copre", False), "covers": ("copre", False), "recouvre": ("copre", False), "sopra a": ("copre", False), "sopra": ("copre", False), ">": ("copre", False),
-    "coperto da": ("copre", True), "coperta da": ("copre", True), "covered by": ("copre", True), "recouvert par": ("copre", True), "sotto a": ("copre", True), "under": ("copre", True), "<": ("copre", True),
-    "taglia": ("taglia", False), "cuts": ("taglia", False), "entaille": ("taglia", False), "schneidet": ("taglia", False), "corta a": ("taglia", False),
-    "tagliato da": ("taglia", True), "tagliata da": ("taglia", True), "cut by": ("taglia", True), "geschnitten von": ("taglia", True), "cortado por": ("taglia", True),
-    "riempie": ("riempie", False), "fills": ("riempie", False), "comble": ("riempie", False), "verfullt": ("riempie", False), "riempimento di": ("riempie", False),
-    "riempito da": ("riempie", True), "riempita da": ("riempie", True), "filled by": ("riempie", True), "verfullt durch": ("riempie", True),
-    "si appoggia a": ("si appoggia a", False), "abuts": ("si appoggia a", False), "s'appuie contre": ("si appoggia a", False),
-    "gli si appoggia": ("si appoggia a", True), "abutted by": ("si appoggia a", True),
-    "si lega a": ("si lega a", False), "bonded with": ("si lega a", False), "legato con": ("si lega a", False),
-    "uguale a": ("uguale a", False), "same as": ("uguale a", False), "identisch mit": ("uguale a", False), "=": ("uguale a", False), "==": ("uguale a", False),
-}
+#: The ten relations, as (relation, ends swapped), and the ways to write them in Italian, English,
+#: French, German and Spanish, without diacritics.
+RELATIONS: dict[str, tuple[str, bool]] = {
+    "copre": ("copre", False),
+    "coperto da": ("copre", True),
+    "taglia": ("taglia", False),
+    "tagliato da": ("taglia", True),
+    "riempie": ("riempie", False),
+    "riempito da": ("riempie", True),
+    "si appoggia a": ("si appoggia a", False),
+    "gli si appoggia": ("si appoggia a", True),
+    "si lega a": ("si lega a", False),
+    "uguale a": ("uguale a", False),
+}
+WORDINGS: dict[str, tuple[str, ...]] = {
+    "copre": ("copre", "sopra", "sopra a", "covers", "overlies", "above", "over", "seals", "couvre", "recouvre", "scelle", "sur", "uberdeckt", "uberlagert", "liegt uber", "cubre", "cubre a", "sella", "sobre", ">"),
+    "coperto da": ("coperto da", "coperta da", "sotto", "sotto a", "covered by", "is covered by", "overlain by", "underlies", "below", "under", "sealed by", "couvert par", "recouvert par", "sous", "uberdeckt von", "uberlagert von", "liegt unter", "unter", "cubierto por", "cubierta por", "bajo", "debajo de", "<"),
+    "taglia": ("taglia", "cuts", "coupe", "recoupe", "entaille", "schneidet", "corta", "corta a"),
+    "tagliato da": ("tagliato da", "tagliata da", "cut by", "is cut by", "coupe par", "recoupe par", "entaille par", "geschnitten von", "cortado por", "cortada por"),
+    "riempie": ("riempie", "riempimento di", "fills", "fill of", "remplit", "comble", "verfullt", "verfullung von", "rellena", "rellena a", "relleno de"),
+    "riempito da": ("riempito da", "riempita da", "filled by", "is filled by", "rempli par", "comble par", "verfullt von", "verfullt durch", "rellenado por", "rellenada por"),
+    "si appoggia a": ("si appoggia a", "abuts", "abuts against", "butts", "s'appuie contre", "s'appuie sur", "s'appuie a", "stoßt an", "stosst an", "se apoya en", "se apoya a", "se adosa a"),
+    "gli si appoggia": ("gli si appoggia", "le si appoggia", "abutted by", "is abutted by", "butted by", "sert d'appui a", "angestoßen von", "se le apoya"),
+    "si lega a": ("si lega a", "legato con", "bonded with", "bonded to", "bonds with", "tied to", "lie a", "liee a", "im verband mit", "verzahnt mit", "trabado con", "enlaza con"),
+    "uguale a": ("uguale a", "corrisponde a", "same as", "equal to", "equals", "egal a", "identique a", "identisch mit", "entspricht", "igual a", "igual que", "=", "==", "≡"),
+}
+RELATION_PHRASES: dict[str, tuple[str, bool]] = {w: RELATIONS[r] for r, ways in WORDINGS.items() for w in ways}
 DIRECT = ("copre", "taglia", "riempie", "si appoggia a")
 CONTEMPORARY = ("si lega a", "uguale a")
 
 
+def _phrase(c: Column) -> Column:
+    return F.regexp_replace(plain(c), "’", "'")
+
+
 def relation_of(c: Column) -> Column:
     """(canonical relation, ends swapped) of a phrase; nulls if it is none."""
-    key = plain(c)
+    key = _phrase(c)
     name = F.create_map([F.lit(x) for k, (v, _) in RELATION_PHRASES.items() for x in (k, v)])
     swap = F.create_map([F.lit(x) for k, (_, v) in RELATION_PHRASES.items() for x in (k, v)])
     return F.struct(F.try_element_at(name, key).alias("rel"), F.try_element_at(swap, key).alias("inversa"))
 
 
-def relations_in_text(c: Column, most: int = 200) -> Column:
-    """Relations in free text, as an array of (rel, inversa, unita): the numbers after each phrase.
+def relations_in_text(c: Column, most: int | None = 200) -> Column:
+    """Relations in free text, as an array of (rel, inversa, unita): all numbers from a phrase up to the next one.
 
-    Ranges 1001-1004 and 1010-12 are extended if they hold at most ``most`` numbers.
+    The longest phrase counts, at the borders of words. Ranges 1001-1004 and 1010-12 are extended if they hold
+    at most ``most`` further numbers (None: however many); longer ones are taken as their two ends. A list of
+    lists is read as ``relation_lists`` does.
     """
-    phrases = sorted(RELATION_PHRASES, key=len, reverse=True)
-    alt = "|".join(p.replace("'", "\\'") for p in phrases)
-    t = plain(c)
-    blocks = F.regexp_extract_all(t, F.lit(rf"((?:{alt})[^a-z=<>]*)"), 1)
+    words = sorted((p for p in RELATION_PHRASES if p[0].isalpha()), key=len, reverse=True)
+    alt = r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])|==|=|≡|>|<"
+    t = F.translate(_phrase(c), "_\x01", "  ")
+    parts = F.split(F.regexp_replace(t, f"({alt})", "\x01$1"), "\x01")
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
 
     def numbers(block: Column) -> Column:
-        found = F.regexp_extract_all(block, F.lit(r"([0-9]+(?:\s*-\s*[0-9]+)?)"), 1)
+        found = F.regexp_extract_all(block, F.lit(r"([0-9]+(?:\s*[a-z](?![a-z]))?(?:\s*(?:-|–|—|\.\.|÷)\s*[0-9]+)?)"), 1)
 
         def span(x: Column) -> Column:
-            a = F.regexp_extract(x, r"^([0-9]+)", 1)
-            b = F.regexp_extract(x, r"-\s*([0-9]+)$", 1)
+            a, b = F.regexp_extract(x, r"^([0-9]+)", 1), F.regexp_extract(x, r"[^0-9 ]\s*([0-9]+)$", 1)
             full = F.when(F.length(b) < F.length(a), F.concat(a.substr(F.lit(1), F.length(a) - F.length(b)), b)).otherwise(b)
             lo, hi = a.try_cast("bigint"), full.try_cast("bigint")
-            return F.when((b != "") & (hi >= lo) & (hi <= lo + most), F.sequence(lo, hi)).when(b != "", F.array(lo, b.try_cast("bigint"))).otherwise(F.array(lo))
+            fits = (hi > lo) if most is None else (hi > lo) & (hi <= lo + most)
+            return F.when(b == "", F.array(lo)).when(fits, F.sequence(lo, hi)).otherwise(F.array(lo, F.when(hi > lo, hi).otherwise(b.try_cast("bigint"))))
 
         return F.flatten(F.transform(found, span))
 
     def one(block: Column) -> Column:
-        rel = relation_of(F.regexp_extract(block, rf"^({alt})", 1))
+        rel = relation_of(F.regexp_extract(block, f"^({alt})", 1))
         return F.transform(numbers(block), lambda n: F.struct(rel["rel"].alias("rel"), rel["inversa"].alias("inversa"), n.alias("unita")))
 
-    return F.filter(F.flatten(F.transform(blocks, one)), lambda r: r["rel"].isNotNull() & r["unita"].isNotNull())
+    free = F.filter(F.flatten(F.transform(blocks, one)), lambda r: r["rel"].isNotNull() & r["unita"].isNotNull())
+    return F.when(F.ltrim(c).startswith("[["), relation_lists(c)).otherwise(free)
 
 
 def relation_lists(c: Column) -> Column:

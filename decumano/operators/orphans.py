@@ -55,49 +55,86 @@ def orphan_references(refs: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def orphan_cascade(direct: DataFrame, parents: DataFrame, refs: DataFrame, stride_power: int = 4) -> DataFrame:
-    """Direct and inherited orphans by a fixpoint over the foreign-key graph.
-
-    ``direct``: result of ``orphan_references`` with column ``unita``, the unit that holds the
-    reference (null where the row belongs to no unit). ``parents``: (figlio, genitore), the rows
-    by which a unit depends on another; a unit may depend on several. ``refs``: as in
-    ``orphan_references``.
-
-    Level 0 are the units that hold a direct orphan; level n + 1 those that depend on a unit of level
-    n. Each round takes, by a join, the units within 2 ** stride_power levels of those taken in the
-    round before (the links are first extended that far by doubling) and by an anti-join keeps the
-    new ones, until none is new; cycles end there, as no unit is taken twice. Returns (tabella,
-    campo, riga, motivo, periodo, livello): livello 0 for direct orphans, n + 1 for references to a
-    unit of level n, whose motivo is 'ereditata'. A direct orphan is not repeated as inherited.
+#: Orphaned units that are broadcast to the references; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def orphan_cascade(refs: DataFrame, units: DataFrame, parents: DataFrame, levels: int | None = None) -> DataFrame:
+    """Direct and inherited orphans by a fixpoint down the foreign-key graph: (tabella, campo, riga, motivo, periodo, livello).
+
+    ``refs``: (tabella, campo, riga, ref, registrato, unita), ``unita`` being the unit that holds the reference
+    (null where the row belongs to no unit). ``units``: (num, inserito, eliminato). ``parents``: (figlio,
+    genitore), the rows by which a unit depends on another; a unit may depend on several.
+
+    Level 0 are the direct orphans (``orphan_references``), and with ``levels`` = 0 the cascade ends there. A
+    unit that holds one is orphaned, and so is, a level further, each unit that depends on an orphaned unit,
+    until no unit is new (``inherited_levels``); cycles end, as a level never falls back. References to a unit
+    orphaned at level n have livello n + 1 and motivo 'ereditata'; with ``levels`` = k those up to k are kept. A
+    direct orphan is not repeated as inherited.
+    """
+    keys = ["tabella", "campo", "riga"]
+    direct = orphan_references(refs, units)
+    first = direct.select(*keys, "motivo", "periodo", F.lit(0).cast("bigint").alias("livello"))
+    if levels == 0:
+        return first
+    direct = cut(direct)
+    first = direct.select(*keys, "motivo", "periodo", F.lit(0).cast("bigint").alias("livello"))
+    bad = inherited_levels(direct.select(F.col("unita").alias("num")), parents).select(F.col("num").alias("__n"), "livello")
+    named = refs.where("ref is not null")
+    if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        named = named.join(F.broadcast(bad), F.col("ref") == F.col("__n"))
+    else:
+        named = skew_left_join(named, bad, "ref", "__n").where("__n is not null")
+    inherited = named.select(*keys, F.lit("ereditata").alias("motivo"), F.date_format("registrato", "yyyy-MM").alias("periodo"), (F.col("livello") + 1).alias("livello")).join(direct.select(*keys), keys, "left_anti")
+    return first.unionByName(inherited if levels is None else inherited.where(F.col("livello") <= levels))
+
+
+def inherited_levels(seeds: DataFrame, parents: DataFrame) -> DataFrame:
+    """(num, livello) of all units below the ``seeds`` (num): links to the nearest seed, 0 for the seeds themselves.
+
+    Pointer doubling over one link a unit (the least parent): after k rounds each unit knows the nearest seed
+    within 2 ** k links and its ancestor that far up, so rounds grow with the log of the depth and no pairs are
+    made. If one round finds nothing nearer, none will, as all shorter distances occur on the way to a longer
+    one. Units with several parents hand their further links in afterwards: where one gives a lower level, the
+    unit becomes a seed of that level and the doubling runs again, until nothing falls.
     """
-    links = parents.where("figlio is not null and genitore is not null and figlio <> genitore").distinct()
-    reach = cut(links.withColumn("dist", F.lit(1)))
-    for k in range(stride_power):
-        far = reach.where(F.col("dist") == 2**k).select(F.col("figlio").alias("__f"), F.col("genitore").alias("__m"))
-        more = far.join(reach, F.col("__m") == reach.figlio).select(F.col("__f").alias("figlio"), "genitore", (F.col("dist") + 2**k).alias("dist"))
-        reach = cut(reach.unionByName(more.where("figlio <> genitore")).groupBy("figlio", "genitore").agg(F.min("dist").alias("dist")))
-    frontier = cut(direct.where("unita is not null").select(F.col("unita").alias("num")).distinct().withColumn("round", F.lit(0)))
-    parts = [frontier]
+    links = cut(parents.where("figlio is not null and genitore is not null and figlio <> genitore").select("figlio", "genitore").distinct())
+    one = links.groupBy("figlio").agg(F.min("genitore").alias("genitore"))
+    more = cut(links.join(one.withColumnRenamed("genitore", "primo"), "figlio").where("genitore <> primo").select("figlio", "genitore"))
+    seed = cut(seeds.where("num is not null").select("num").distinct().withColumn("livello", F.lit(0).cast("bigint")))
     while True:
-        step = (
-            reach.join(frontier.select(F.col("num").alias("genitore"), "round"), "genitore")
-            .groupBy(F.col("figlio").alias("num"))
-            .agg(F.min(F.col("round") + F.col("dist")).alias("round"))
-            .join(_union(parts).select("num"), "num", "left_anti")
+        found = cut(_nearest_seed(one, seed).where("livello is not null"))
+        if more.isEmpty():
+            return found
+        better = (
+            more.join(found.withColumnRenamed("num", "genitore"), "genitore").groupBy(F.col("figlio").alias("num")).agg((F.min("livello") + 1).alias("l"))
+            .join(found, "num", "left").where("livello is null or l < livello").select("num", F.col("l").alias("livello"))
         )
-        frontier = cut(step)
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        if len(parts) > 16:
-            parts = [cut(_union(parts))]
-    inherited = (
-        skew_left_join(refs.where("ref is not null"), _union(parts).select(F.col("num").alias("__n"), "round"), "ref", "__n")
-        .where("__n is not null")
-        .select("tabella", "campo", "riga", F.lit("ereditata").alias("motivo"), F.date_format("registrato", "yyyy-MM").alias("periodo"), (F.col("round") + 1).alias("livello"))
-        .join(direct.select("tabella", "campo", "riga"), ["tabella", "campo", "riga"], "left_anti")
+        better = cut(better)
+        if better.isEmpty():
+            return found
+        seed = cut(found.unionByName(better).groupBy("num").agg(F.min("livello").alias("livello")))
+
+
+def _nearest_seed(one: DataFrame, seed: DataFrame) -> DataFrame:
+    """(num, livello): least livello of a seed on the way up plus the links to it; null if there is none."""
+    s = seed.select(F.col("num").alias("__s"), F.col("livello").alias("__l"))
+    every = one.select("figlio").unionByName(one.select(F.col("genitore").alias("figlio"))).unionByName(seed.select(F.col("num").alias("figlio"))).distinct()
+    state = cut(
+        every.join(one, "figlio", "left").join(s, F.col("figlio") == F.col("__s"), "left")
+        .select(F.col("figlio").alias("num"), F.col("genitore").alias("su"), F.col("__l").alias("livello"), F.lit(True).alias("mosso"))
     )
-    return direct.select("tabella", "campo", "riga", "motivo", "periodo", F.lit(0).alias("livello")).unionByName(inherited)
+    step = 1
+    while True:
+        # Who is at its root has looked at all its ancestors; the others look at the unit ``step`` links up.
+        up = state.where("su is not null or livello is not null").select(F.col("num").alias("__u"), F.col("su").alias("__su"), F.col("livello").alias("__l"))
+        low = F.least("livello", F.col("__l") + F.lit(step))
+        state = cut(
+            state.join(up, F.col("su") == F.col("__u"), "left").select("num", F.col("__su").alias("su"), low.alias("livello"), (F.coalesce(low, F.lit(-1)) != F.coalesce("livello", F.lit(-1))).alias("mosso"))
+        )
+        if state.where("mosso").isEmpty():
+            return state.select("num", "livello")
+        step *= 2
 
 
 def orphan_report(cascade: DataFrame) -> DataFrame:
@@ -105,12 +142,3 @@ def orphan_report(cascade: DataFrame) -> DataFrame:
     return cascade.groupBy("tabella", "campo", "periodo", "motivo").agg(
         F.count(F.lit(1)).alias("righe"), F.max("livello").cast("bigint").alias("livello_max")
     )
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-

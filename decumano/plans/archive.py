@@ -100,8 +100,13 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
     return rel.unionByName(f)
 
 
+def _cascade(spark: SparkSession, d: str, levels: int | None = None) -> DataFrame:
+    return orphans.orphan_cascade(_refs(spark, d), _units(spark, d), _links(spark, d).select("figlio", "genitore"), levels)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_references(_refs(spark, d), _units(spark, d)).select("tabella", "campo", "riga", "motivo", "periodo")
+    """Level 0 of the cascade: the direct orphans."""
+    return _cascade(spark, d, 0).select("tabella", "campo", "riga", "motivo", "periodo")
 
 
 P3_SQL = """
@@ -122,9 +127,7 @@ SELECT tabella, campo, riga, motivo, periodo FROM m WHERE motivo IS NOT NULL"""
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans by table and month: units that hang from an orphan, and what names them."""
-    refs, links = _refs(spark, d), _links(spark, d).select("figlio", "genitore")
-    direct = orphans.cut(orphans.orphan_references(refs, _units(spark, d)))
-    return orphans.orphan_report(orphans.orphan_cascade(direct, links, refs))
+    return orphans.orphan_report(_cascade(spark, d))
 
 
 P3_REPORT_SQL = """

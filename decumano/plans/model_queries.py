@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import geometry, relational, sheets, state, surfaces, vocabulary
+from ..operators import geometry, graph, relational, sheets, state, surfaces, vocabulary
 from ..operators.spatial import located
 from ..session import table
 from . import recipe
 from .geometry_queries import plans
-from .graph_queries import NORMAL, typed
+from .graph_queries import MEANING, NORMAL, normal, typed, wordings
 from .relational_queries import LEVELS, UNITS, levels, units
 
 QUERIES = {}
@@ -73,9 +73,7 @@ UNION ALL SELECT 'avviso', 'senza quote', count(*) FROM units WHERE unita NOT IN
 UNION ALL SELECT 'errore', 'contraddizione', count(*) FROM pairs WHERE (a, b) IN (SELECT least(a, b), greatest(a, b) FROM edges)""")
 def n16_readiness(spark, d):
     """How many units stand in the way of a model, by reason."""
-    from ..operators import graph
-
-    edges, pairs = graph.normalise(typed(spark, d))
+    edges, pairs = normal(spark, d)
     us = units(spark, d)
     ends = edges.select(F.explode(F.array("a", "b")).alias("unita")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("unita"))).distinct()
     planned = table(spark, d, "us_poligoni").where("anelli is not null").select(F.col("us").alias("unita"))
@@ -120,7 +118,7 @@ def m12_applied_units(spark, d):
 @query(f"WITH {NORMAL} SELECT DISTINCT a, rel, b FROM t WHERE a IN (SELECT us FROM us_poligoni) AND b IN (SELECT us FROM us_poligoni)")
 def m04_applied_relations(spark, d):
     s = {t: table(spark, d, t) for t in ("us_poligoni", "relations", "finds")}
-    return recipe.apply(_REL, s)["relazioni"].select("a", "rel", "b")
+    return recipe.apply(_REL, s, wordings(spark, d))["relazioni"].select("a", "rel", "b")
 
 
 @query("SELECT riga, context AS unita FROM finds WHERE context IN (SELECT us FROM us_poligoni)")
@@ -175,7 +173,7 @@ def o01_latest_edits(spark, d):
 
 @query(f"WITH {NORMAL}, c AS (SELECT rel AS canonico, relation AS grezzo, count(*) AS n FROM t JOIN relations r ON t.riga = r.riga GROUP BY 1, 2) SELECT canonico, grezzo FROM c QUALIFY row_number() OVER (PARTITION BY canonico ORDER BY n DESC, grezzo) = 1")
 def o04_inverse_values(spark, d):
-    t = typed(spark, d).where("a is not null and b is not null and a <> b").select(F.col("phrase").alias("grezzo"), S.relation_of(F.col("phrase"))["rel"].alias("canonico"))
+    t = graph.resolve(typed(spark, d).where("a is not null and b is not null and a <> b"), wordings(spark, d)).select(F.col("phrase").alias("grezzo"), F.col("r.rel").alias("canonico"))
     return state.inverse_values(t)
 
 

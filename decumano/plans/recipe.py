@@ -6,11 +6,13 @@ import fnmatch
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import graph
 from ..operators import relational as R
 from ..operators.vocabulary import Vocabulary
 
@@ -50,7 +52,7 @@ def statistics(sheets: Mapping[str, DataFrame]) -> dict[str, dict[str, dict]]:
         for i, c in enumerate(df.columns):
             v = S.blank_to_null(F.col(f"`{c}`").cast("string"))
             num = v.try_cast("double")
-            aggs += [F.count(v).alias(f"{i}_pieni"), F.count(num).alias(f"{i}_numerici"), F.count(F.when(num == F.floor(num), 1)).alias(f"{i}_interi"), F.countDistinct(v).alias(f"{i}_distinti"), F.count(F.when(v.rlike(r"^(?i:usm?|su|ctx|context)?[ ._-]*[0-9]{1,7}(\.0)?[a-z]?$"), 1)).alias(f"{i}_unita")]
+            aggs += [F.count(v).alias(f"{i}_pieni"), F.count(num).alias(f"{i}_numerici"), F.count(F.when(num == F.floor(num), 1)).alias(f"{i}_interi"), F.countDistinct(v).alias(f"{i}_distinti"), F.count(F.when(v.rlike(r"^(?i:usm?|su|ctx|context)?[ ._-]*[0-9]{1,18}(\.0)?[a-z]?$"), 1)).alias(f"{i}_unita")]
         row = df.agg(F.count(F.lit(1)).alias("righe"), *aggs).first().asDict()
         out[name] = {c: {"righe": row["righe"], **{k: row[f"{i}_{k}"] for k in ("pieni", "numerici", "interi", "distinti", "unita")}} for i, c in enumerate(df.columns)}
     return out
@@ -116,9 +118,14 @@ def override(recipe: Recipe, **changes) -> Recipe:
     return Recipe(**base)
 
 
-def apply(recipe: Recipe, sheets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def apply(recipe: Recipe, sheets: Mapping[str, DataFrame], wordings: DataFrame | None = None) -> dict[str, DataFrame]:
     """The canonical tables of an archive: 'us' (unita, ...), 'relazioni' (a, rel, b) and the linked sheets.
 
+    Relations come in any of four encodings, and several together: a sheet of rows (sheet, a, rel, b), list
+    columns of the record sheet named by relation (columns), columns of free text or lists of lists (text), and
+    columns that name a parent unit (parents, by relation). ``wordings``: (termine, canonico), further wordings
+    of the relations in the sheet, misspelt ones included (``phrases.meanings``).
+
     Filters, renames, casts and relations are one lazy plan: sheets are read once, unused columns not at all.
     """
     df = sheets[recipe.records]
@@ -134,22 +141,35 @@ def apply(recipe: Recipe, sheets: Mapping[str, DataFrame]) -> dict[str, DataFram
         cols.append((S.without_sentinels(S.number(q(c).cast("string")), recipe.nulls) if k in ("profondita", "quota", "peso", "numero") else S.unit_number(q(c)) if k in ("riempie", "copre", "coperto") else text).alias(k))
     us = df.select(*cols).where("unita is not null")
     out = {"us": us}
-    rel = recipe.relations
-    if "sheet" in rel:
-        t = sheets[rel["sheet"]]
-        r = S.relation_of(q(rel["rel"]).cast("string"))
-        e = t.select(S.unit_number(q(rel["a"])).alias("x"), r.alias("r"), S.unit_number(q(rel["b"])).alias("y")).where("r.rel is not null")
-        pair = e.select(F.when(F.col("r.inversa"), F.col("y")).otherwise(F.col("x")).alias("a"), "r.rel", F.when(F.col("r.inversa"), F.col("x")).otherwise(F.col("y")).alias("b"))
-    elif "columns" in rel:
-        parts = [df.select(S.unit_number(q(recipe.unit)).alias("a"), F.lit(k).alias("rel"), F.explode(F.transform(F.regexp_extract_all(q(c).cast("string"), F.lit("([0-9]{1,7})"), 1), lambda n: n.cast("bigint"))).alias("b")) for k, c in rel["columns"].items()]
-        pair = parts[0]
-        for p in parts[1:]:
-            pair = pair.unionByName(p)
-    else:
-        pair = None
-    if pair is not None:
-        out["relazioni"] = R.clean_relations(pair.distinct(), us)
+    pairs = _relations(recipe, df, sheets, wordings)
+    if pairs:
+        out["relazioni"] = R.clean_relations(reduce(DataFrame.unionByName, pairs).distinct(), us)
     for s, c in recipe.linked.items():
         t = sheets[s].withColumn("unita", S.unit_number(q(c)))
         out[s] = t.join(us.select("unita").distinct(), "unita", "left_semi")
     return out
+
+
+def _relations(recipe: Recipe, df: DataFrame, sheets: Mapping[str, DataFrame], wordings: DataFrame | None) -> list[DataFrame]:
+    """(a, rel, b) of each encoding that the recipe names; inverse forms swapped."""
+    rel, parts = recipe.relations, []
+    q = lambda c: F.col(f"`{c}`")
+    unit = S.unit_number(q(recipe.unit)) if recipe.unit else None
+
+    def swapped(a, r, b):
+        return F.when(r["inversa"], b).otherwise(a).alias("a"), r["rel"].alias("rel"), F.when(r["inversa"], a).otherwise(b).alias("b")
+
+    if "sheet" in rel:
+        t = sheets[rel["sheet"]].select(S.unit_number(q(rel["a"])).alias("a"), q(rel["rel"]).cast("string").alias("phrase"), S.unit_number(q(rel["b"])).alias("b"))
+        parts.append(graph.resolve(t, wordings).where("r.rel is not null").select(*swapped(F.col("a"), F.col("r"), F.col("b"))))
+    for k, c in rel.get("columns", {}).items():
+        numbers = F.transform(F.regexp_extract_all(q(c).cast("string"), F.lit("([0-9]{1,18})"), 1), lambda n: n.try_cast("bigint"))
+        e = df.select(unit.alias("x"), S.relation_of(F.lit(k)).alias("r"), F.explode(numbers).alias("y"))
+        parts.append(e.select(*swapped(F.col("x"), F.col("r"), F.col("y"))))
+    for c in rel.get("text", ()):
+        e = df.select(unit.alias("x"), F.explode(S.relations_in_text(q(c).cast("string"))).alias("r"))
+        parts.append(e.select(*swapped(F.col("x"), F.col("r"), F.col("r.unita"))))
+    for k, c in rel.get("parents", {}).items():
+        e = df.select(unit.alias("x"), S.relation_of(F.lit(k)).alias("r"), S.unit_number(q(c)).alias("y"))
+        parts.append(e.select(*swapped(F.col("x"), F.col("r"), F.col("y"))))
+    return parts

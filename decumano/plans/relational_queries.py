@@ -79,7 +79,7 @@ def c04_column_types(spark, d):
     return R.column_types(table(spark, d, "us_poligoni"), _TYPED)
 
 
-@query("SELECT riga, TRY_CAST(nullif(regexp_extract(si_lega_a, '([0-9]{1,7})', 1), '') AS BIGINT) AS unita FROM usm WHERE si_lega_a IS NOT NULL")
+@query("SELECT riga, TRY_CAST(nullif(regexp_extract(si_lega_a, '([0-9]{1,18})', 1), '') AS BIGINT) AS unita FROM usm WHERE si_lega_a IS NOT NULL")
 def c05_unit_numbers(spark, d):
     return table(spark, d, "usm").where("si_lega_a is not null").select("riga", S.unit_number(F.col("si_lega_a")).alias("unita"))
 
@@ -401,7 +401,7 @@ def f24_level_kind_sets(spark, d):
 
 @query("""
 WITH x AS (SELECT si_lega_a AS t FROM usm), l AS (SELECT unnest(regexp_extract_all(t, '(?:[Uu][Ss][Mm]?[. ]*)?[0-9]+[A-Za-z]?')) AS s FROM x),
-n AS (SELECT CAST(regexp_extract(s, '([0-9]{1,7})', 1) AS BIGINT) AS numero, s FROM l)
+n AS (SELECT CAST(regexp_extract(s, '([0-9]{1,18})', 1) AS BIGINT) AS numero, s FROM l)
 SELECT numero, count(DISTINCT s) AS forme FROM n GROUP BY numero HAVING count(DISTINCT s) > 1""")
 def f25_ambiguous_ids(spark, d):
     s = table(spark, d, "usm").select(F.explode(F.regexp_extract_all("si_lega_a", F.lit("((?:[Uu][Ss][Mm]?[. ]*)?[0-9]+[A-Za-z]?)"), 1)).alias("s"))

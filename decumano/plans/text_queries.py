@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import graph as G
 from ..operators import relational as R
 from ..session import table
-from .graph_queries import _PHRASES, typed
+from .graph_queries import MEANING, typed, wordings
 
 QUERIES = {}
 SQL = {}
@@ -23,12 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-_PLAIN = "trim(regexp_replace(translate(lower({0}), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '\\s+', ' ', 'g'), ' ')"
+@query(f"WITH {MEANING} SELECT riga, rel, inversa FROM relations LEFT JOIN ph USING (relation) LEFT JOIN dir USING (canonico) WHERE relation IS NOT NULL")
+def k01_relation_phrases(spark, d):
+    return G.resolve(typed(spark, d).where("phrase is not null"), wordings(spark, d)).select("riga", "r.rel", "r.inversa")
 
 
-@query(f"WITH ph(k, rel, inversa) AS (VALUES {_PHRASES}) SELECT riga, rel, inversa FROM relations LEFT JOIN ph ON ph.k = {_PLAIN.format('relation')} WHERE relation IS NOT NULL")
-def k01_relation_phrases(spark, d):
-    return typed(spark, d).where("phrase is not null").select("riga", S.relation_of(F.col("phrase")).alias("r")).select("riga", "r.*")
+@query(f"WITH {MEANING} SELECT relation AS frase, count(*) AS righe FROM relations WHERE relation IS NOT NULL AND relation NOT IN (SELECT relation FROM ph) GROUP BY relation")
+def k01_not_understood(spark, d):
+    return G.unmatched(typed(spark, d), wordings(spark, d)).withColumnRenamed("phrase", "frase")
 
 
 @query("""

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,9 +51,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+
+    The written rows forget the size estimate of the plan they came from: a loop multiplies the estimates of
+    its joins, which after some dozens of rounds are numbers of millions of digits that stall the planner.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    make = getattr(getattr(spark, "_jsparkSession", None), "internalCreateDataFrame", None)
+    if make is None:
+        return done
+    return DataFrame(make(done._jdf.queryExecution().logical().rdd(), done._jdf.schema(), False), spark)
+
+
+def row_numbers(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with ``name``: the place of each row, from 1, in the order of the columns ``order``; no task sorts all rows.
+
+    Rows are partitioned by range and sorted within; only the row counts of the partitions reach the driver.
+    """
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    s = cut(s.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("bigint"), 33)))
+    before, at = [], 0
+    for p, n in sorted(tuple(r) for r in s.groupBy("__p").agg(F.count(F.lit(1))).collect()):
+        before += [F.lit(p), F.lit(at)]
+        at += n
+    start = F.element_at(F.create_map(*before), F.col("__p")) if before else F.lit(0)
+    return s.withColumn(name, (start + F.col("__i") + 1).cast("bigint")).drop("__p", "__i")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -39,10 +39,38 @@ def test_levels_cycles_and_reduction(spark):
     bad = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (7, 8)])
     assert rows(graph.strong_components(bad)) == [(1, 1), (2, 1), (3, 1)]
     assert not graph.levels(bad)[1].isEmpty()
+    assert rows(graph.by_colour(bad)) == [(1, 1), (2, 1), (3, 1)]
+    # A cycle that only a contraction closes: 1 over 2, 3 over 4, 2 with 3, 4 with 1.
+    e, g = graph.condense(edges(spark, [(1, 2), (3, 4), (9, 1)]), edges(spark, [(2, 3), (1, 4)]))
+    assert rows(e) == [(9, 1)] and dict(map(tuple, g.collect())) == dict.fromkeys((1, 2, 3, 4), 1)
     e, g = graph.condense(bad, edges(spark, [(7, 8)]))
     assert graph.levels(e)[1].isEmpty() and dict(map(tuple, g.collect())) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
 
 
+def test_strong_components_both_ways_agree(spark):
+    import random
+
+    rnd = random.Random(4)
+    e = edges(spark, sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(90)}))
+    assert rows(graph.strong_components(e)) == rows(graph.strong_components(e, most=0))
+
+
+def test_phrases_of_the_archive(spark):
+    from decumano.operators import phrases
+
+    p = spark.createDataFrame([(x,) for x in ("Copre", "coopre", "cubr ea", "überdeckt von", "- sopra a", "copre in parte", "verfullt durch", "vedi diario", "04", None, "")], "f string")
+    got = {r.f: (r.canonico, r.modo) for r in phrases.meanings(p, "f", phrases.built_in(spark)).collect()}
+    assert got == {"Copre": ("copre", "esatto"), "coopre": ("copre", "vicino"), "cubr ea": ("copre", "vicino"), "überdeckt von": ("coperto da", "esatto"), "- sopra a": ("copre", "esatto"), "copre in parte": ("copre", "contenuto"), "verfullt durch": ("riempito da", "esatto"), "vedi diario": (None, None), "04": (None, None), "": (None, None)}
+
+
+def test_relations_in_four_encodings(spark):
+    r = recipe.Recipe(records="s", unit="US", relations={"sheet": "r", "a": "a", "rel": "rel", "b": "b", "columns": {"coperto da": "Coperto da"}, "text": ["Note"], "parents": {"riempie": "Dentro"}})
+    s = spark.createDataFrame([("US 1", "2, 3", "taglia 4 e 5", None), ("2", None, "[['Copre', '3', '1', 'x']]", "US 9"), ("3", None, None, None), ("4", None, None, None), ("5", None, None, None), ("9", None, None, None)], "US string, `Coperto da` string, Note string, Dentro string")
+    t = spark.createDataFrame([("4", "uguale a", "5"), ("4", "cut by", "9"), ("4", "boh", "9")], "a string, rel string, b string")
+    got = rows(recipe.apply(r, {"s": s, "r": t})["relazioni"].select("a", "rel", "b"))
+    assert got == [(1, "taglia", 4), (1, "taglia", 5), (2, "copre", 1), (2, "copre", 3), (2, "riempie", 9), (3, "copre", 1), (4, "uguale a", 5), (9, "taglia", 4)]
+
+
 def test_components_against_union_find(spark):
     import random
 
@@ -86,11 +114,32 @@ def test_identifiers_relations_and_dates(spark):
     ids = {"US 1005": ("US", 1005, "", False), "1005a": ("", 1005, "a", False), "A/1005": ("A/", 1005, "", False), "1005-1006": ("", 1006, "", True), "n.d.": ("", None, "", True), "US 15 bis": ("US", 15, "bis", False)}
     df = spark.createDataFrame([(k,) for k in ids], "t string")
     assert {r.t: tuple(r.p) for r in df.select("t", S.identifier_parts(F.col("t")).alias("p")).collect()} == ids
-    text = {"copre 12, 13; taglia 4": [("copre", False, 12), ("copre", False, 13), ("taglia", False, 4)], "fills 1005": [("riempie", False, 1005)], "= 22": [("uguale a", False, 22)], "copre 1001-1004": [("copre", False, k) for k in range(1001, 1005)], "taglia 1010-12": [("taglia", False, k) for k in (1010, 1011, 1012)], "Cut by 7 and 8. Same as 9": [("taglia", True, 7), ("uguale a", False, 9)], "niente 5": []}
+    text = {
+        "copre 12, 13; taglia 4": [("copre", 12), ("copre", 13), ("taglia", 4)],
+        "fills 1005": [("riempie", 1005)],
+        "= 22": [("uguale a", 22)],
+        "under 3/4/5": [("coperto da", 3), ("coperto da", 4), ("coperto da", 5)],
+        "copre 1001-1004": [("copre", 1001), ("copre", 1002), ("copre", 1003), ("copre", 1004)],
+        "taglia 1010-12": [("taglia", 1010), ("taglia", 1011), ("taglia", 1012)],
+        "Cut by 7 and 8. Same as 9": [("tagliato da", 7), ("tagliato da", 8), ("uguale a", 9)],
+        "couvre 3 et 4 ; coupé par 9": [("copre", 3), ("copre", 4), ("tagliato da", 9)],
+        "schneidet 5, verfüllt von 6": [("taglia", 5), ("riempito da", 6)],
+        "cubre 2 y 3, cortado por 7": [("copre", 2), ("copre", 3), ("tagliato da", 7)],
+        "> 4, < 6": [("copre", 4), ("coperto da", 6)],
+        "si appoggia a US 1005a": [("si appoggia a", 1005)],
+        "[['Copre', '1002', '1', 'Sito'], ['Taglia', '1003', '1', 'Sito']]": [("copre", 1002), ("taglia", 1003)],
+        "": [],
+        "niente 5": [],
+        "copre 1-500": [("copre", 1), ("copre", 500)],
+        "ricopre 12": [],
+    }
     df = spark.createDataFrame([(k,) for k in text], "t string")
     got = {r.t: [tuple(x) for x in r.r] for r in df.select("t", S.relations_in_text(F.col("t")).alias("r")).collect()}
-    assert {k: v for k, v in got.items() if k != "Cut by 7 and 8. Same as 9"} == {k: v for k, v in text.items() if k != "Cut by 7 and 8. Same as 9"}
-    assert got["Cut by 7 and 8. Same as 9"][0] == ("taglia", True, 7) and got["Cut by 7 and 8. Same as 9"][-1] == ("uguale a", False, 9)
+    assert got == {k: [(*S.RELATIONS[r], n) for r, n in v] for k, v in text.items()}
+    assert len(spark.range(1).select(S.relations_in_text(F.lit("copre 1-500"), None)).first()[0]) == 500
+    n = spark.createDataFrame([("12345678",), ("US 123456789012",), ("1005.0",), ("x",)], "t string").select(S.unit_number(F.col("t"))).collect()
+    assert [r[0] for r in n] == [12345678, 123456789012, 1005, None]
+    assert spark.range(12345678, 12345679).select(S.unit_number(F.col("id"))).first()[0] == 12345678
     d = spark.createDataFrame([("2025-09-30, 2025-09-24;2025-9-24 2025-13-01",)], "t string").select(S.dates_in(F.col("t"))).first()[0]
     assert d == ["2025-09-24", "2025-09-30"]
     assert spark.range(1).select(S.ddmm_date(F.lit("DEM_3006_x"), F.lit(2024))).first()[0] == "2024-06-30"

@@ -36,11 +36,32 @@ def test_cascade_reports_direct_and_inherited(spark):
     data = [(1, 999, 2, 1)] + [(k, k - 1, 2, k) for k in range(2, 61)] + [(100, 3, 2, None), (101, 50, 2, None)]
     r = refs(spark, data)
     links = spark.createDataFrame([(k, k - 1) for k in range(2, 61)] + [(5, 60), (7, 7), (None, 3)], "figlio bigint, genitore bigint")
-    direct = orphans.orphan_references(r, units)
-    got = {(x.riga): (x.motivo, x.livello) for x in orphans.orphan_cascade(direct, links, r, 2).collect()}
+    got = {(x.riga): (x.motivo, x.livello) for x in orphans.orphan_cascade(r, units, links).collect()}
     assert got[1] == ("mancante", 0) and got[2] == ("ereditata", 1) and got[60] == ("ereditata", 59) and got[100] == ("ereditata", 3) and got[101] == ("ereditata", 50)
-    rep = orphans.orphan_report(orphans.orphan_cascade(direct, links, r, 3)).collect()
+    rep = orphans.orphan_report(orphans.orphan_cascade(r, units, links)).collect()
     assert sum(x.righe for x in rep) == 62
+    assert rows(orphans.orphan_cascade(r, units, links, 0)) == rows(orphans.orphan_references(r, units).selectExpr("tabella", "campo", "riga", "motivo", "periodo", "0L as livello"))
+    assert orphans.orphan_cascade(r, units, links, 3).where("livello > 0").count() == 4
+
+
+def test_inherited_levels_against_breadth_first_search(spark):
+    rnd = random.Random(11)
+    for _ in range(3):
+        n = 400
+        pairs = {(k, rnd.randrange(max(1, k - 3), k)) for k in range(2, n)} | {(rnd.randrange(1, n), rnd.randrange(1, n)) for _ in range(25)} | {(5, 5)}
+        seeds = [rnd.randrange(1, n) for _ in range(4)]
+        below = {}
+        for c, p in pairs:
+            below.setdefault(p, []).append(c)
+        want, todo = dict.fromkeys(seeds, 0), list(seeds)
+        while todo:
+            x = todo.pop(0)
+            for c in below.get(x, ()):
+                if c not in want:
+                    want[c] = want[x] + 1
+                    todo.append(c)
+        got = orphans.inherited_levels(spark.createDataFrame([(x,) for x in seeds], "num bigint"), spark.createDataFrame(sorted(pairs) + [(None, 1), (1, None)], "figlio bigint, genitore bigint"))
+        assert dict(map(tuple, got.collect())) == want
 
 
 def test_hot_key_join_keeps_all_rows(spark):
