@@ -83,19 +83,31 @@ class Bags:
     """Finds the strings of a fixed list within an edit distance: letter counts first, then the distance itself."""
 
     def __init__(self, strings: Iterable[str]):
-        self.strings = sorted(set(strings))
+        self.strings = sorted(set(strings), key=lambda s: (len(s), s))
         self.bags = np.array([_bag(s) for s in self.strings]) if self.strings else np.zeros((0, 32), np.int16)
         self.sizes = np.array([len(s) for s in self.strings], np.int64)
 
+    @staticmethod
+    def widest(n: int) -> int:
+        """The most edits to any string that a string of n letters may stand for."""
+        most = allowed(n)
+        while allowed(n + most + 1) > most:
+            most += 1
+        return most
+
     def near(self, s: str, most: int | None = None) -> list[tuple[str, int]]:
         """(string, distance) within ``most`` edits, by default as many as the longer of both may have."""
-        diff = self.bags - _bag(s)
+        widest = self.widest(len(s)) if most is None else most
+        # Sorted by length: only those whose length is near enough are looked at.
+        first, last = np.searchsorted(self.sizes, [len(s) - widest, len(s) + widest + 1])
+        diff = self.bags[first:last] - _bag(s)
         low = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
         out = []
-        for i in np.flatnonzero(low <= (allowed(len(s) + 3) if most is None else most)):
+        for k in np.flatnonzero(low <= widest):
+            i = first + k
             t = self.strings[i]
             m = allowed(max(len(s), len(t))) if most is None else most
-            if low[i] <= m and (d := osa(s, t, m)) <= m:
+            if low[k] <= m and (d := osa(s, t, m)) <= m:
                 out.append((t, d))
         return out
 
@@ -218,9 +230,11 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["campo", "valore", "voce", "punteggio"])
 
     spelled = cut(vals.mapInArrow(spell, "campo string, valore string, pos int, token string"))
-    repaired = spelled.select("campo", "token").distinct().mapInArrow(repair, "c2 string, t2 string, likely array<struct<t: string, s: double>>")
+    # A fixed number of partitions: few bytes, much work a row, which adaptive execution would join into one task.
+    tasks = max(vals.sparkSession.sparkContext.defaultParallelism * 2, int(vals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    repaired = spelled.select("campo", "token").distinct().repartition(tasks, "campo", "token").mapInArrow(repair, "c2 string, t2 string, likely array<struct<t: string, s: double>>")
     back = spelled.join(repaired, (F.col("campo") == F.col("c2")) & (F.col("token") == F.col("t2")), "left")
-    found = back.groupBy("campo", "valore").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "likely"))).alias("found"))
+    found = back.repartition(tasks, "campo", "valore").groupBy("campo", "valore").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "likely"))).alias("found"))
     return found.mapInArrow(rank, "campo string, valore string, voce bigint, punteggio double")
 
 

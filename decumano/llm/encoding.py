@@ -44,8 +44,6 @@ SWITCH, SWITCH_LINE = -5.5, -4.0
 NEVER = -60.0
 #: In contexts of at least so many letters, one and this share of them are taken from each letter's count.
 LEAST_CONTEXT, DISCOUNT = 20, 0.0003
-#: Contexts of the letter model that are kept; rarer ones fall back on shorter contexts, which cover all.
-MAX_CONTEXTS = 100_000
 ROUNDS = 3
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -260,7 +258,8 @@ def learn(docs: DataFrame, text: str, rounds: int = ROUNDS) -> dict[str, int]:
     """Counts of the letter model over all texts, by hard expectation-maximisation.
 
     Round 0 counts texts without ill-read UTF-8. Each further round labels all texts by the present
-    model and counts again, garbled spans as what they are restored to.
+    model and counts again, garbled spans as what they are restored to. All contexts are kept: there are as many
+    as the languages have letters between two neighbours on either side, not as many as there are texts.
     """
     src = spread(docs.where(F.col(text).rlike("[^\\x00-\\x7F]")).select(text))
     counts: dict[str, int] | None = None
@@ -282,7 +281,7 @@ def learn(docs: DataFrame, text: str, rounds: int = ROUNDS) -> dict[str, int]:
             c = _letters(runs)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["gram", "n"])
 
-        got = src.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_CONTEXTS).collect()
+        got = src.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         counts = {r["gram"]: r["n"] for r in got}
     return counts or {}
 

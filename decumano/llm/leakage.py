@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from ..session import spread
 
 #: Consecutive words of an item that make a leak.
 LEAST_WORDS = 12
-#: Most words of all test items together: the automaton is held by every task. Beyond that the items are taken in parts.
+#: Words of the test items in one automaton, which a worker holds; more items are taken in parts.
 MAX_ITEM_WORDS = 2_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -38,20 +40,21 @@ class Automaton:
     """Suffix automaton over the words of all items; each item is fed from the root.
 
     ``next[s]`` maps a word number to a state, ``link`` and ``length`` are the usual ones. After
-    ``finish`` the items of a state are those in which its strings occur.
+    ``finish`` the items of a state, those in which its strings occur, are a slice of one array: the items in
+    the order of a walk through the tree of suffix links. So memory grows with the words of the items alone.
     """
 
     def __init__(self) -> None:
         self.word: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[set[int]] = [set()]
+        self.ends: list[list[int]] = [[]]
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(-1)
         self.length.append(length)
-        self.items.append(set())
+        self.ends.append([])
         return len(self.length) - 1
 
     def _clone(self, p: int, w: int, q: int) -> int:
@@ -81,15 +84,31 @@ class Automaton:
                     q = self.next[p][w]
                     self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, w, q)
                 last = new
-            self.items[last].add(item)
+            self.ends[last].append(item)
 
     def finish(self) -> Automaton:
-        """Hand the items of each state down its suffix links: a suffix occurs wherever the whole does."""
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                self.items[self.link[s]] |= self.items[s]
+        """Lay the items out by the tree of suffix links: a suffix occurs wherever the strings below it do."""
+        kids: list[list[int]] = [[] for _ in self.length]
+        for s in range(1, len(self.length)):
+            kids[self.link[s]].append(s)
+        self.first, self.last = [0] * len(self.length), [0] * len(self.length)
+        flat: list[int] = []
+        todo = [(0, False)]
+        while todo:
+            s, left = todo.pop()
+            if left:
+                self.last[s] = len(flat)
+                continue
+            self.first[s] = len(flat)
+            flat.extend(self.ends[s])
+            todo.append((s, True))
+            todo.extend((k, False) for k in kids[s])
+        self.flat, self.ends = np.array(flat, np.int64), []
         return self
 
+    def items(self, s: int) -> list[int]:
+        return np.unique(self.flat[self.first[s] : self.last[s]]).tolist()
+
     def scan(self, text: list[str], least: int) -> Iterator[tuple[int, int, int]]:
         """(end, longest match, state) at each place where at least ``least`` words up to it match."""
         nxt, link, length, number = self.next, self.link, self.length, self.word
@@ -118,7 +137,7 @@ class Automaton:
         for i, n, s in self.scan(text, least):
             # Shorter suffixes, down to ``least``, may occur in more items.
             while s > 0 and n >= least:
-                for item in self.items[s]:
+                for item in self.items(s):
                     if n > longest.get(item, 0):
                         longest[item] = n
                     spans = covered.setdefault(item, [])
@@ -131,15 +150,23 @@ class Automaton:
                 n = self.length[s]
         return {k: (v, sum(b - a for a, b in covered[k])) for k, v in longest.items()}
 
+    def leaked(self, text: list[str], least: int) -> np.ndarray:
+        """Which words stand in a run of at least ``least`` that matches any item."""
+        cut = np.zeros(len(text), bool)
+        for i, n, _ in self.scan(text, least):
+            cut[i - n + 1 : i + 1] = True
+        return cut
+
     def without_leaks(self, text: str, least: int) -> str:
         """The text less all spans of at least ``least`` words that match any item."""
+        return without(text, self.leaked(item_words(text), least))
+
+
+def without(text: str, cut: np.ndarray) -> str:
+    """The text less the spans of words that are marked."""
+    if cut.any():
         folded, at = _fold_with_places(text)
         spans = list(_WORD.finditer(folded))
-        cut = np.zeros(len(spans), bool)
-        for i, n, _ in self.scan([m.group() for m in spans], least):
-            cut[i - n + 1 : i + 1] = True
-        if not cut.any():
-            return text
         out, done, k = [], 0, 0
         while k < len(spans):
             if cut[k]:
@@ -153,6 +180,7 @@ class Automaton:
             k += 1
         out.append(text[done:])
         return "".join(out)
+    return text
 
 
 def _fold_with_places(text: str) -> tuple[str, list[int]]:
@@ -172,13 +200,13 @@ def build(rows: list[tuple[int, str]]) -> Automaton:
     return a.finish()
 
 
-def _items(items: DataFrame, key: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items in parts of at most MAX_ITEM_WORDS words each, so that one automaton stays small."""
+def _items(items: DataFrame, key: str, text: str, most: int) -> list[list[tuple[int, str]]]:
+    """The items, a held-out set and not the corpus, in parts of about ``most`` words each, so that one automaton stays small."""
     parts: list[list[tuple[int, str]]] = [[]]
     words = 0
-    for r in items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct().toLocalIterator():
+    for r in items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct().orderBy(key, text).toLocalIterator():
         n = len(r[1]) // 2 + 1
-        if parts[-1] and words + n > MAX_ITEM_WORDS:
+        if parts[-1] and words + n > most:
             parts.append([])
             words = 0
         parts[-1].append((r[0], r[1]))
@@ -186,7 +214,23 @@ def _items(items: DataFrame, key: str, text: str) -> list[list[tuple[int, str]]]
     return parts
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, least: int = LEAST_WORDS) -> DataFrame:
+class Shared:
+    """Automata built once and broadcast; a Python worker keeps the one it used last for its next tasks."""
+
+    kept: dict[str, Automaton] = {}
+
+    def __init__(self, spark, parts: list[list[tuple[int, str]]]):
+        self.all = [(uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(build(p), protocol=5))) for p in parts]
+
+    def __iter__(self) -> Iterator[Automaton]:
+        for key, b in self.all:
+            if key not in Shared.kept:
+                Shared.kept.clear()
+                Shared.kept[key] = pickle.loads(b.value)
+            yield Shared.kept[key]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, least: int = LEAST_WORDS, most: int = MAX_ITEM_WORDS) -> DataFrame:
     """Each document with the test items it leaks: (doc, item, parole, coperte).
 
     A document leaks an item if it holds at least ``least`` consecutive words of the item's text, words
@@ -194,51 +238,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text:
     the longest such run, ``coperte`` the words of the document in such runs. An item shorter than
     ``least`` words never leaks. Null and empty texts leak nothing; repeated documents and repeated
     item texts are each reported. Texts are streamed whole through the automaton in one pass, without
-    a shuffle; the items (a held-out set, not the corpus) are built into it on each task.
+    a shuffle. The automaton is built once; items of more than ``most`` words in all are taken in parts,
+    through which each batch of texts goes in turn, so the result is the same.
     """
-    schema = T.StructType([docs.schema[doc], items.schema[item], T.StructField("parole", T.LongType()), T.StructField("coperte", T.LongType())])
+    schema = T.StructType([docs.schema[doc], T.StructField(item, T.LongType()), T.StructField("parole", T.LongType()), T.StructField("coperte", T.LongType())])
     src = spread(docs.where(F.col(text).isNotNull()).select(doc, text))
-    out = None
-    for part in _items(items, item, text):
+    shared = Shared(docs.sparkSession, _items(items, item, text, most))
 
-        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
-            auto = build(part)
-            for b in batches:
-                rows = [(d, i, n, c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (n, c) in auto.leaks(item_words(t), least).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["d", "i", "n", "c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [item_words(t) for t in b.column(1).to_pylist()]
+            rows = [(k, i, n, c) for auto in shared for k, w in enumerate(words) for i, (n, c) in auto.leaks(w, least).items()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[j] for r in rows], pa.int64()) for j in (1, 2, 3))], names=["d", "i", "n", "c"])
 
-        one = src.mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return src.mapInArrow(run, schema)
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, *, item: str, text: str, least: int = LEAST_WORDS, most_share: float = 0.5) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, *, item: str, text: str, least: int = LEAST_WORDS, most_share: float = 0.5, most: int = MAX_ITEM_WORDS) -> DataFrame:
     """The corpus without leaked spans: ``text`` less every run of at least ``least`` leaked words.
 
-    A document of which more than ``most_share`` of the words would go is dropped whole, which is
-    the coverage limit of the method. Null texts stay null.
+    A document of which more than ``most_share`` of the words would go, of all items together, is dropped
+    whole, which is the coverage limit of the method. Null texts stay null.
     """
-    out = docs
-    for part in _items(items, item, text):
-        out = out.withColumn(text, _cleaner(part, least, most_share)(text)).where(F.col(text).isNull() | (F.col(text) != "\x00"))
-    return out
+    shared = Shared(docs.sparkSession, _items(items, item, text, most))
 
-
-def _cleaner(part: list[tuple[int, str]], least: int, most_share: float):
-    memo: list[Automaton] = []
-
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<resto: string, tolto: boolean>")
     def clean(texts: pa.Array) -> pa.Array:
-        if not memo:
-            memo.append(build(part))
-        auto, res = memo[0], []
-        for t in texts.to_pylist():
-            w = item_words(t) if t is not None else []
-            if t is None or next(auto.scan(w, least), None) is None:
-                res.append(t)
-                continue
-            kept = auto.without_leaks(t, least)
-            res.append(kept if len(item_words(kept)) >= (1 - most_share) * len(w) else "\x00")
-        return pa.array(res, pa.string())
-
-    return clean
+        whole = texts.to_pylist()
+        words = [item_words(t) if t is not None else [] for t in whole]
+        marks = [np.zeros(len(w), bool) for w in words]
+        for auto in shared:
+            for w, m in zip(words, marks):
+                m |= auto.leaked(w, least)
+        out = [{"resto": None if t is None else without(t, m), "tolto": bool(m.sum() > most_share * len(m))} for t, m in zip(whole, marks)]
+        return pa.array(out, pa.struct([("resto", pa.string()), ("tolto", pa.bool_())]))
+
+    name = "__" + "_".join(docs.columns)  # clashes with no column
+    return docs.withColumn(name, clean(text)).where(~F.col(name)["tolto"]).withColumn(text, F.col(name)["resto"]).drop(name)

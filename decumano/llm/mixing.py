@@ -16,9 +16,8 @@ from ..session import cut, spread
 
 #: A vocabulary file of the ``tokenizers`` library; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Most blocks in a schedule: blocks grow with the total, so the schedule stays as small.
-MAX_BLOCKS = 50_000
-LEAST_BLOCK = 1024
+#: Tokens of a block, about; and the slots of a schedule, which is repeated for as long as the mixture is.
+BLOCK, SLOTS = 1024, 20_000
 #: Parts of a source whose sizes are added up first, so that no task sees a whole source.
 PARTS = 1024
 
@@ -113,13 +112,23 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def cycle(shares: list[Share], block: int = BLOCK, slots: int = SLOTS) -> tuple[dict[str, int], int]:
+    """(blocks of each source in one cycle, cycles): a schedule of at most about ``slots`` slots, repeated.
+
+    Weights are periodic: with b of n slots a cycle, the schedule of one cycle repeated is the schedule of all
+    blocks. A source is cut into exactly its blocks a cycle times the cycles, all of one size, about ``block``
+    tokens whatever the total; so the deviation stays below one such block at any size.
+    """
+    used = sum(s.tokens for s in shares)
+    n = max(1, min(slots, math.ceil(used / block)))
+    blocks = {s.source: max(1, round(n * s.tokens / used)) for s in shares if s.tokens > 0}
+    return blocks, max(1, math.ceil(used / (block * max(1, sum(blocks.values())))))
+
+
 def _sizes(sized: DataFrame, targets: DataFrame, total: int | None) -> tuple[list[Share], DataFrame]:
-    rows = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").orderBy("source").limit(10_001).collect()]
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 sources")
-    names = [s for s, *_ in rows]
+    rows = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.where("source is not null").orderBy("source").collect()]
     parts = cut(
-        sized.where(F.col("source").isin(names) & (F.col("token") > 0)).groupBy("source", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("part")).agg(F.sum("token").alias("n"))
+        sized.where(F.col("token") > 0).groupBy("source", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).alias("part")).agg(F.sum("token").alias("n"))
     )
     have = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     return plan([(s, float(w or 0), int(r or 0)) for s, w, r in rows], have, total), parts
@@ -128,7 +137,7 @@ def _sizes(sized: DataFrame, targets: DataFrame, total: int | None) -> tuple[lis
 def mix(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, text: str, tokenizer: str = TOKENIZER, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of a mixture of sources by target weight.
 
-    ``targets``: (source, target_share, max_repeats). Selection: (doc, source, ripetizione, token, blocco,
+    ``targets``: (source, target_share, max_repeats), the parameters, one row a source. Selection: (doc, source, ripetizione, token, blocco,
     posto), one row for each use of a document: ``ripetizione`` counts its uses from 1, ``blocco`` is the
     block of its source and ``posto`` the place of that block in the mixture. Report: (source,
     target_share, max_repeats, disponibili, usati, quota, ripetizioni): tokens at hand and used, actual
@@ -140,14 +149,19 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, text: str
     source or without text are not used; documents with one key are placed together, each used.
     Running sums are taken within PARTS parts of a source and over the parts, never over a whole source.
     """
-    sized = cut(token_counts(docs.where(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text")), "text", tokenizer).drop("text"))
+    # Only texts of listed sources that may be used at all are tokenised.
+    listed = targets.where("source is not null and target_share > 0 and max_repeats > 0").select(F.col("source").alias("__s")).distinct()
+    own = docs.where(F.col(source).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
+    if listed.limit(10_001).count() <= 10_000:
+        listed = F.broadcast(listed)
+    own = own.join(listed, F.col("source") == F.col("__s"), "left_semi")
+    sized = cut(token_counts(own, "text", tokenizer).drop("text"))
     shares, parts = _sizes(sized, targets, total)
-    used = sum(s.tokens for s in shares)
-    block = max(LEAST_BLOCK, math.ceil(used / MAX_BLOCKS))
+    blocks, cycles = cycle(shares)
     spark = docs.sparkSession
-    order = schedule({s.source: math.ceil(s.tokens / block) for s in shares})
-    slots = spark.createDataFrame([(s, k, n + 1) for n, (s, k) in enumerate(order)], "source string, blocco bigint, posto bigint")
-    limits = spark.createDataFrame([(s.source, s.have, s.tokens) for s in shares], "source string, have bigint, want bigint")
+    slots = spark.createDataFrame([(s, k, n + 1) for n, (s, k) in enumerate(schedule(blocks))], "source string, nel_ciclo bigint, slot bigint")
+    limits = spark.createDataFrame([(s.source, s.have, s.tokens, blocks.get(s.source, 0)) for s in shares], "source string, have bigint, want bigint, blocchi bigint")
+    length = sum(blocks.values())
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = parts.withColumn("base", F.coalesce(before, F.lit(0))).select("source", "part", "base")
     inner = F.sum("token").over(Window.partitionBy("source", "part").orderBy("h", "doc", "token", "row").rowsBetween(Window.unboundedPreceding, -1))
@@ -156,15 +170,17 @@ def mix(docs: DataFrame, targets: DataFrame, *, doc: str, source: str, text: str
         .withColumn("h", F.xxhash64("doc"))
         .withColumn("part", F.pmod("h", F.lit(PARTS)))
         .withColumn("row", F.monotonically_increasing_id())
-        .join(F.broadcast(limits), "source")
+        .join(F.broadcast(limits), "source")  # one row a source of the parameters
         .withColumn("inner", F.coalesce(inner, F.lit(0)))
         .join(base, ["source", "part"])
         .withColumn("start", F.col("base") + F.col("inner"))
     )
     uses = placed.where("start < want").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("cast((want - 1 - start) div have as int)"))))
     selection = (
-        uses.withColumn("blocco", F.expr(f"(epoch * have + start) div {block}"))
-        .join(F.broadcast(slots), ["source", "blocco"])
+        uses.withColumn("blocco", F.expr(f"cast((cast(epoch * have + start as decimal(38, 0)) * (blocchi * {cycles})) div want as bigint)"))
+        .withColumn("nel_ciclo", F.expr("blocco % blocchi"))
+        .join(F.broadcast(slots), ["source", "nel_ciclo"])
+        .withColumn("posto", F.expr(f"(blocco div blocchi) * {length} + slot"))
         .select(F.col("doc").alias(doc), "source", (F.col("epoch") + 1).cast("bigint").alias("ripetizione"), F.col("token").cast("bigint").alias("token"), (F.col("blocco") + 1).alias("blocco"), "posto")
     )
     actual = selection.groupBy("source").agg(F.sum("token").alias("usati"), F.max("ripetizione").alias("ripetizioni"))

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+from conftest import rows
 from decumano.llm import leakage as L
 
 ITEMS = [(1, "Ecco dodici parole della prova che nessuno deve mai vedere nel testo di prova"), (2, "alfa beta gamma delta epsilon zeta eta theta iota kappa lambda mi ni csi omicron pi"), (3, "troppo corta"), (4, None), (5, "zeta eta theta iota kappa lambda mi ni csi omicron pi rho sigma tau"), (5, "seconda stesura zeta")]
@@ -59,3 +60,18 @@ def test_items_in_parts(spark, monkeypatch):
     d = spark.createDataFrame([(1, ITEMS[0][1]), (2, ITEMS[1][1])], "doc_id bigint, text string")
     it = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(d, it, doc="doc_id", item="item_id", text="text").collect()} == brute([(1, ITEMS[0][1]), (2, ITEMS[1][1])], ITEMS, 12)
+
+
+def test_items_in_parts_give_the_same(spark):
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(k, " ".join(words[k * 20 : k * 20 + 20])) for k in range(20)], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, " ".join(words[0:15] + ["x"] * 5)), (2, " ".join(words[0:15] + words[200:215] + ["y"] * 40)), (3, " ".join(words[0:14] + words[300:314] + ["z"] * 20)), (4, "\x00"), (5, None), (6, "")],
+        "doc_id bigint, text string",
+    )
+    whole = L.remove_leaks(docs, items, item="item_id", text="text")
+    parts = L.remove_leaks(docs, items, item="item_id", text="text", most=30)
+    assert rows(whole) == rows(parts)
+    assert {r.doc_id for r in whole.collect()} == {2, 4, 5, 6} and [r.text for r in whole.where("doc_id = 4").collect()] == ["\x00"]
+    one = L.find_leaks(docs, items, doc="doc_id", item="item_id", text="text")
+    assert rows(one) == rows(L.find_leaks(docs, items, doc="doc_id", item="item_id", text="text", most=30)) and one.count() == 5

@@ -31,6 +31,30 @@ def test_schedule_deviates_by_less_than_a_block():
             assert all(abs(seen[x] - slot * blocks[x] / n) < 1 for x in blocks)
 
 
+def test_a_cycle_keeps_blocks_small_at_any_total():
+    for total in (5_000, 3_000_000, 25_000_000_000_000):
+        shares = M.plan([("a", 0.61, 10), ("b", 0.38, 10), ("c", 0.01, 10)], {"a": total, "b": total, "c": total}, total=total)
+        blocks, cycles = M.cycle(shares)
+        assert sum(blocks.values()) <= M.SLOTS + 3
+        for s in shares:
+            assert s.tokens / (blocks[s.source] * cycles) < 2 * M.BLOCK
+        one = M.schedule(blocks)
+        seen, n = dict.fromkeys(blocks, 0), len(one)
+        for slot, (s, _) in enumerate(one * min(2, cycles), 1):
+            seen[s] += 1
+            assert all(abs(seen[x] - slot * blocks[x] / n) < 1 for x in blocks)
+
+
+def test_mix_places_follow_the_schedule(spark):
+    d = spark.range(4000).selectExpr("id as doc_id", "repeat('parola ', 40 + cast(id % 60 as int)) as text", "case when id % 4 = 0 then 'b' else 'a' end as source")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    sel = M.mix(d, t, doc="doc_id", source="source", text="text")[0].toPandas().sort_values(["posto", "source"])
+    done = {"a": 0, "b": 0}
+    for _, r in sel.iterrows():
+        done[r.source] += r.token
+        assert abs(done["a"] - done["b"]) < 3 * M.BLOCK
+
+
 def test_mix(spark):
     docs = [(i, "parola " * (i % 7 + 1), "a" if i % 3 else "b", "x") for i in range(600)] + [(700, None, "a", "x"), (701, "", "a", "x"), (702, "senza", None, "x"), (703, "altra", "z", "x"), (5, "doppia chiave", "a", "x")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, token string")
