@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import blank_to_null, without_sentinels
+from ..session import row_numbers
 
 
 # Projection
@@ -275,9 +276,16 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], variable: st
 
 
 def fingerprints(df: DataFrame, key: str, parts: Sequence[Column]) -> DataFrame:
-    """SHA-256 of the sorted texts of a unit's rows: the order of rows does not matter."""
+    """SHA-256 of the texts of a unit's rows: the order of rows does not matter.
+
+    Lines are gathered in 4,096 parts of a unit by the first digits of their MD5, each part sorted and hashed, then
+    the hashes of the parts: no row holds a whole hot unit.
+    """
     line = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
-    return df.groupBy(key).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("impronta"))
+    rows = df.select(F.col(key).alias("__key"), line.alias("__line")).withColumn("__part", F.substring(F.md5("__line"), 1, 3))
+    part = rows.groupBy("__key", "__part").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("__line"))), 256).alias("__h"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("__part", "__h"))), lambda x: x["__h"])
+    return part.groupBy(F.col("__key").alias(key)).agg(F.sha2(F.concat_ws("\n", whole), 256).alias("impronta"))
 
 
 def with_total(df: DataFrame, key: str, sums: Sequence[str], label: str = "TOTALE") -> DataFrame:
@@ -328,10 +336,13 @@ def survey_days(df: DataFrame, unit: str, ts: str) -> DataFrame:
 
 
 def unique_labels(df: DataFrame, name: str, order: str, blank: str) -> DataFrame:
-    """Blank names become '<blank> i', repeated ones 'name (k)', k by ``order``."""
-    base = F.coalesce(blank_to_null(F.col(name)), F.concat(F.lit(blank + " "), F.row_number().over(Window.partitionBy(blank_to_null(F.col(name)).isNull()).orderBy(order)).cast("string")))
+    """Blank names become '<blank> i', repeated ones 'name (k)', k by ``order``; blanks are numbered without one window over all."""
+    own = blank_to_null(F.col(name))
+    named = df.where(own.isNotNull()).withColumn("__b", own)
+    blanks = row_numbers(df.where(own.isNull()), "__i", F.col(order)).withColumn("__b", F.concat(F.lit(blank + " "), F.col("__i").cast("string"))).drop("__i")
     k = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return df.withColumn("__b", base).withColumn("etichetta", F.when(k == 1, F.col("__b")).otherwise(F.concat("__b", F.lit(" ("), k.cast("string"), F.lit(")")))).drop("__b")
+    both = named.unionByName(blanks)
+    return both.withColumn("etichetta", F.when(k == 1, F.col("__b")).otherwise(F.concat("__b", F.lit(" ("), k.cast("string"), F.lit(")")))).drop("__b")
 
 
 def arc_length(df: DataFrame, key: Sequence[str], pos: str, x: str, y: str) -> DataFrame:

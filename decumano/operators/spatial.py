@@ -11,12 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Points that the driver sees to lay out the partitions (they decide the layout only, never a result).
-SAMPLE = 60_000
-#: Points aimed at in one partition group, and the most groups; beyond that groups grow with the data.
-GROUP_ROWS, MAX_GROUPS = 40_000, 4096
+#: Points aimed at in one partition group. The groups, and the sample that lays them out (it decides the layout only,
+#: never a result), grow with the points: sixteen sampled points a group, at least SAMPLE and at most so many as the
+#: driver and each task can hold, which is reached at 2.6 thousand million points.
+GROUP_ROWS, MAX_GROUPS = 40_000, 65_536
+SAMPLE, MAX_SAMPLE = 60_000, 16 * 65_536
 #: Most blocks into which the probes of one indivisible cell are split.
-MAX_BLOCKS = 256
+MAX_BLOCKS = 4096
 FANOUT = 16
 CHUNK = 200_000
 
@@ -238,10 +239,11 @@ def located(points: DataFrame, space: str, x: str, y: str) -> DataFrame:
 
 
 def layout(points: DataFrame, space: str, x: str, y: str, radius: float) -> Forest:
-    """The quadtree forest for located ``points``, from a sample of about SAMPLE rows (at most twice that)."""
+    """The quadtree forest for located ``points``, from a sample that grows with the groups (at most 2 * MAX_SAMPLE rows)."""
     narrow = points.select(F.col(space).cast("string").alias("s"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     total = narrow.count()
-    some = narrow.sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=7).limit(2 * SAMPLE).toArrow()
+    want = min(MAX_SAMPLE, max(SAMPLE, 16 * math.ceil(total / GROUP_ROWS)))
+    some = narrow.sample(fraction=min(1.0, want / max(1, total)), seed=7).limit(2 * want).toArrow()
     return Forest.build(np.array(some.column("s").to_pylist(), object).astype(str), some.column("x").to_numpy(), some.column("y").to_numpy(), total, radius)
 
 
@@ -263,7 +265,7 @@ def in_groups(pts: DataFrame, forest: Forest, radius: float) -> DataFrame:
     return code.select(*pts.columns, F.expr("code % 2 = 1").alias("home"), F.expr("code div 2").alias("grp"))
 
 
-def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key: str, space: str, ident: str, x: str, y: str, free: str, unit: str, rings: str) -> DataFrame:
+def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key: str, space: str, ident: str, x: str, y: str, free: str, unit: str, rings: str, cases: tuple[str, ...] = ("vicino", "dentro")) -> DataFrame:
     """Pairs of close points, and regions that contain points: (caso, a, b).
 
     'vicino': a < b are ``key`` of two points of one ``space`` with different ``ident``, less than
@@ -278,12 +280,14 @@ def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key
     A sample lays out a quadtree for each space with many points; small spaces share groups. Each
     point goes to the cell it lies in (its home) and to those its circle touches; a region to all it
     touches. Each group is searched with a bulk-loaded R-tree, then by exact distance or even-odd
-    test. A pair is reported only where its smaller key is at home, so none comes twice. Cells too
+    test. With ``cases`` only one of the two is sought; for 'dentro' alone only free points take part. A pair is reported only where its smaller key is at home, so none comes twice. Cells too
     small to divide but full are split into blocks: each block probes with a part of the points.
     """
     pts = located(points, space, x, y).select(
         F.col(key).alias("a"), F.col(space).cast("string").alias("space"), F.col(ident).cast("string").alias("ident"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(free), F.lit(False)).alias("free")
     )
+    if "vicino" not in cases:
+        pts = pts.where("free")
     forest = layout(pts, "space", "x", "y", radius)
 
     @F.arrow_udf("array<bigint>")
@@ -304,7 +308,8 @@ def near_and_within(points: DataFrame, regions: DataFrame, radius: float, *, key
 
     def search(t: pa.Table, g: pa.Table) -> pa.Table:
         out = []
-        for case, (a, b) in (("vicino", _near(t, radius) if len(t) else ([], [])), ("dentro", _within(t, g))):
+        for case in cases:
+            a, b = _within(t, g) if case == "dentro" else _near(t, radius) if len(t) else ([], [])
             out.append(pa.table({"caso": pa.array([case] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}))
         return pa.concat_tables(out)
 
@@ -348,13 +353,14 @@ def local_statistics(points: DataFrame, radius: float, k: int, *, key: str, spac
                 rank = np.arange(len(q)) - np.repeat(np.cumsum(got) - got, got)
                 keep = rank < k
                 done = (got >= k) | (r >= radius)
-                zs = np.split(pz[n[keep]], np.cumsum(np.minimum(got, k))[:-1]) if len(part) else []
-                for j in np.flatnonzero(done):
-                    v = zs[j]
-                    count[part[j]] = len(v)
-                    if len(v):
-                        med[part[j]] = np.median(v)
-                        mad[part[j]] = np.median(np.abs(v - med[part[j]]))
+                near = np.full((len(part), k), np.nan)
+                near[q[keep], rank[keep]] = pz[n[keep]]
+                some = np.flatnonzero(done & (got > 0))
+                count[part[done]] = np.minimum(got, k)[done]
+                if len(some):
+                    m = np.nanmedian(near[some], axis=1)
+                    med[part[some]] = m
+                    mad[part[some]] = np.nanmedian(np.abs(near[some] - m[:, None]), axis=1)
                 again.append(part[~done])
             open_ = np.concatenate(again)
             r = min(radius, r * 2)

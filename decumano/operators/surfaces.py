@@ -13,60 +13,123 @@ from pyspark.sql import functions as F
 
 from .spatial import inside
 
-#: Metres, and the constants of the covariance (fixed values that results depend on).
+#: Fixed values that results depend on, in metres: duplicates; points and extent that make a trend; limits of the
+#: range, and the range of fewer than three points; nugget; least variance; targets at once.
 DEDUPE, TREND_POINTS, TREND_SPREAD, RANGE, RANGE_DEFAULT, NUGGET, LEAST_VARIANCE, CHUNK = 0.02, 8, 1.0, (0.45, 3.0), 1.5, (0.003**2, 1e-3), 1e-4, 4000
 LEAST_THICKNESS, DEFAULT_THICKNESS, DEFAULT_DEPTH, RIM_MARGIN = 0.004, 0.10, 0.20, 0.03
+#: The step of a plan under 3 and 20 square metres and above, and the most steps around it; the wall of a
+#: cut as a share of its median depth and of its half width, its most and least; the taper of a layer at its edge.
+STEPS, MOST_STEPS = ((3.0, 0.06), (20.0, 0.10), (math.inf, 0.16)), 4000
+WALL_DEPTH, WALL_WIDTH, WALL_MOST, WALL_LEAST = 0.6, 0.9, 1.1, 0.04
+TAPER_LEAST, TAPER_WIDTH = 0.25, 0.3
+#: Samples of one equation system. More are taken by tiles: each tile sees the samples within three ranges of it, where
+#: the covariance has fallen to exp(-9).
+MOST_SAMPLES = 1500
+#: Levels of one unit that one task holds. Units with more (one may hold a tenth of all) are averaged on a grid first.
+MOST_LEVELS = 50_000
+
+
+def apart(xy: np.ndarray, least: float = DEDUPE) -> np.ndarray:
+    """Which points stay if each one within ``least`` of an earlier one that stays is dropped."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    keep = np.ones(len(xy), bool)
+    for i, ((x, y), (cx, cy)) in enumerate(zip(xy.tolist(), np.floor(xy / least).astype(np.int64).tolist())):
+        for j in (j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((cx + a, cy + b), ())):
+            if (xy[j, 0] - x) ** 2 + (xy[j, 1] - y) ** 2 <= least * least:
+                keep[i] = False
+                break
+        if keep[i]:
+            cells.setdefault((cx, cy), []).append(i)
+    return keep
+
+
+def _nearest(a: np.ndarray) -> np.ndarray:
+    """Distance of each point to its nearest other one."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), 500):
+        d2 = ((a[k : k + 500, None] - a[None]) ** 2).sum(-1)
+        d2[np.arange(len(d2)), np.arange(k, k + len(d2))] = np.inf
+        out[k : k + 500] = np.sqrt(d2.min(1))
+    return out
+
 
+def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray, most: int = MOST_SAMPLES) -> np.ndarray:
+    """Simple kriging around a plane (or the median): gaussian covariance with a nugget.
 
-def krige(xy: np.ndarray, z: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Simple kriging around a plane (or the mean): gaussian covariance with a nugget; samples within 2 cm are averaged."""
+    Of samples within 2 cm the first stays. A plane is fitted to eight or more that spread over a metre both ways.
+    With more than ``most`` samples each tile of the targets is solved with those near it.
+    """
     ok = np.isfinite(z) & np.isfinite(xy).all(1)
     xy, z = xy[ok], z[ok]
     if not len(z):
         return np.full(len(to), np.nan)
-    key = np.round(xy / DEDUPE).astype(np.int64)
-    _, inv = np.unique(key, axis=0, return_inverse=True)
-    inv = inv.ravel()
-    n = np.bincount(inv)
-    xy = np.stack([np.bincount(inv, xy[:, k]) / n for k in (0, 1)], 1)
-    z = np.bincount(inv, z) / n
+    keep = apart(xy)
+    xy, z = xy[keep], z[keep]
     o = xy.mean(0)
     a, t = xy - o, to - o
-    spread = np.ptp(a, axis=0).max() if len(z) > 1 else 0.0
-    base = np.ones((len(z), 1))
-    if len(z) >= TREND_POINTS and spread > TREND_SPREAD:
-        base = np.hstack([base, a])
-    coef, *_ = np.linalg.lstsq(base, z, rcond=None)
+    base, tb = np.ones((len(z), 1)), np.ones((len(t), 1))
+    coef = np.array([np.median(z)])
+    if len(z) >= TREND_POINTS and (np.ptp(a, axis=0) > TREND_SPREAD).all():
+        base, tb = np.hstack([base, a]), np.hstack([tb, t])
+        coef, *_ = np.linalg.lstsq(base, z, rcond=None)
     res = z - base @ coef
-    tb = np.hstack([np.ones((len(t), 1)), t]) if base.shape[1] == 3 else np.ones((len(t), 1))
-    if len(z) == 1:
-        return tb @ coef
-    d2 = ((a[:, None] - a[None]) ** 2).sum(-1)
-    near = np.sqrt(np.where(np.eye(len(z), dtype=bool), np.inf, d2).min(1))
-    r = float(np.clip(2 * np.median(near), *RANGE)) if np.isfinite(near).all() else RANGE_DEFAULT
+    r = float(np.clip(2 * np.median(_nearest(a)), *RANGE)) if len(z) >= 3 else RANGE_DEFAULT
     s2 = max(float(res.var()), LEAST_VARIANCE)
-    w = np.linalg.solve(s2 * np.exp(-d2 / r**2) + (NUGGET[0] + NUGGET[1] * s2) * np.eye(len(z)), res)
-    out = np.empty(len(t))
-    for k in range(0, len(t), CHUNK):
-        p = t[k : k + CHUNK]
-        out[k : k + CHUNK] = tb[k : k + CHUNK] @ coef + (s2 * np.exp(-((p[:, None] - a[None]) ** 2).sum(-1) / r**2)) @ w
+    out = tb @ coef
+    for at, q, rest in _tiles(t, a, res, 3 * r, most):
+        p = t[at]
+        w = np.linalg.solve(s2 * np.exp(-((q[:, None] - q[None]) ** 2).sum(-1) / r**2) + (NUGGET[0] + NUGGET[1] * s2) * np.eye(len(q)), rest)
+        for k in range(0, len(p), CHUNK):
+            out[at[k : k + CHUNK]] += (s2 * np.exp(-((p[k : k + CHUNK, None] - q[None]) ** 2).sum(-1) / r**2)) @ w
     return out
 
 
+def _tiles(t: np.ndarray, a: np.ndarray, res: np.ndarray, reach: float, most: int):
+    """(targets, samples, residuals) of each tile: one if the samples are few, else squares cut in four until they are.
+
+    A tile narrower than a sixth of ``reach`` is cut no further; its samples are averaged on a grid of ``most`` cells.
+    """
+    todo = [(np.arange(len(t)), np.arange(len(a)))] if len(t) else []
+    while todo:
+        at, near = todo.pop()
+        lo, hi = t[at].min(0), t[at].max(0)
+        if len(near) > most:
+            near = near[((a[near] >= lo - reach) & (a[near] <= hi + reach)).all(1)]
+        if len(near) <= most or (hi - lo).max() < reach / 6:
+            q, rest = a[near], res[near]
+            if len(near) > most:
+                side = max(float((np.ptp(q, axis=0)).max()), 1e-9) / math.sqrt(most)
+                _, cell = np.unique(np.floor((q - q.min(0)) / side).astype(np.int64), axis=0, return_inverse=True)
+                n = np.bincount(cell.ravel())
+                q, rest = np.stack([np.bincount(cell.ravel(), q[:, k]) / n for k in (0, 1)], 1), np.bincount(cell.ravel(), rest) / n
+            if len(q):
+                yield at, q, rest
+            continue
+        q = (t[at] >= (lo + hi) / 2) @ np.array([1, 2])
+        todo.extend((at[q == k], near) for k in range(4) if (q == k).any())
+
+
 def delaunay(p: np.ndarray) -> np.ndarray:
     """Triangles of points (Bowyer-Watson), counter-clockwise; duplicates must be gone.
 
-    All circles are tested at once for each point; slots of triangles that are gone are used again.
+    Points come from left to right, so a triangle whose circle lies left of the next point is final and is taken
+    out; all other circles are tested at once. Slots of triangles that are gone are used again.
     """
     n = len(p)
     c, s = p.mean(0), max(np.ptp(p, axis=0).max(), 1e-6) * 20
     q = np.vstack([p, c + [-s, -s], c + [s, -s], c + [0, s]])
-    size = 2 * n + 16
+    size = 256
     tri, cx, cy, r2 = np.full((size, 3), -1, np.int64), np.zeros(size), np.zeros(size), np.full(size, -1.0)
-    free = list(range(size - 1, 0, -1))
+    free, final = list(range(size - 1, 0, -1)), []
     tri[0] = (n, n + 1, n + 2)
     cx[0], cy[0], r2[0] = _circle(q, n, n + 1, n + 2)
-    for i in np.lexsort((p[:, 1], p[:, 0])).tolist():
+    for step, i in enumerate(np.lexsort((p[:, 1], p[:, 0])).tolist()):
+        if step % 32 == 0:
+            live = np.flatnonzero(r2 >= 0)
+            done = live[cx[live] + np.sqrt(r2[live]) < q[i, 0] - 1e-9]
+            final.append(tri[done].copy())
+            r2[done] = -1.0
+            free.extend(done.tolist())
         bad = np.flatnonzero((cx - q[i, 0]) ** 2 + (cy - q[i, 1]) ** 2 < r2 * (1 + 1e-12))
         edges: dict[tuple[int, int], int] = {}
         for a, b, d in tri[bad].tolist():
@@ -77,11 +140,17 @@ def delaunay(p: np.ndarray) -> np.ndarray:
         free.extend(bad.tolist())
         for (a, b), times in edges.items():
             if times == 1 and abs(_cross(q, a, b, i)) > 1e-18:
+                if not free:
+                    free = list(range(2 * size - 1, size - 1, -1))
+                    tri, cx, cy, r2 = np.vstack([tri, np.full((size, 3), -1, np.int64)]), np.append(cx, np.zeros(size)), np.append(cy, np.zeros(size)), np.append(r2, np.full(size, -1.0))
+                    size *= 2
                 k = free.pop()
                 tri[k] = (a, b, i)
                 cx[k], cy[k], r2[k] = _circle(q, a, b, i)
-    out = tri[(r2 >= 0) & (tri.max(1) < n)]
-    flip = np.array([_cross(q, *t) < 0 for t in out.tolist()], bool)
+    out = np.vstack([*final, tri[r2 >= 0]])
+    out = out[out.max(1) < n]
+    a, b, d = q[out[:, 0]], q[out[:, 1]], q[out[:, 2]]
+    flip = (b[:, 0] - a[:, 0]) * (d[:, 1] - a[:, 1]) - (d[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]) < 0
     out[flip] = out[flip][:, [0, 2, 1]]
     return out
 
@@ -101,7 +170,7 @@ def _circle(q: np.ndarray, a: int, b: int, c: int) -> tuple[float, float, float]
 
 
 def boundary_step(area: float) -> float:
-    return 0.06 if area < 3 else 0.10 if area < 20 else 0.16
+    return next(step for most, step in STEPS if area < most)
 
 
 def _polygon(rings: list[np.ndarray]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
@@ -120,13 +189,14 @@ def area_of(rings: list[np.ndarray]) -> float:
     return out
 
 
-def mesh(rings: list[np.ndarray], most: int = 350) -> tuple[np.ndarray, np.ndarray]:
+def mesh(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Vertices and triangles of a plan: outline made dense, a grid inside, triangles outside left out.
 
-    The step grows so that a unit has about ``most`` vertices; it decides the fineness, not the extent.
+    The step goes by the area (``STEPS``), at most MOST_STEPS around the plan; the grid inside has at most about
+    ten thousand points.
     """
     area = area_of(rings)
-    step = max(boundary_step(area), math.sqrt(area / most) if area else 0.06, sum(np.linalg.norm(r - np.roll(r, -1, 0), axis=1).sum() for r in rings) / most)
+    step = max(boundary_step(area), sum(np.linalg.norm(r - np.roll(r, -1, 0), axis=1).sum() for r in rings) / MOST_STEPS, math.sqrt(area / 10_000))
     pts = []
     for r in rings:
         for p, q in zip(r, np.roll(r, -1, 0)):
@@ -196,7 +266,7 @@ def build(cls: str, rings: list[np.ndarray], levels: pd.DataFrame) -> dict:
         how = "misurata" if len(floor) else "schematica"
         d = np.maximum(top - deep, LEAST_THICKNESS)
         dist = edge_distances(v, rings)
-        wall = max(min(0.6 * float(np.median(d)), 0.9 * float(dist.max()), 1.1), 0.04)
+        wall = max(min(WALL_DEPTH * float(np.median(d)), WALL_WIDTH * float(dist.max()), WALL_MOST), WALL_LEAST)
         bottom = top - d * smooth(dist / wall)
     elif cls == "muraria":
         crest, base = of("rasatura", "sup"), of("fondazione", "inf")
@@ -208,29 +278,36 @@ def build(cls: str, rings: list[np.ndarray], levels: pd.DataFrame) -> dict:
         top = at(up if len(up) else levels)
         thick = np.maximum(top - at(down), LEAST_THICKNESS) if len(down) else np.full(len(v), DEFAULT_THICKNESS)
         how = "misurata" if len(down) else "impilata"
-        bottom = top - thick * np.clip(0.25 + 0.75 * edge_distances(v, rings) / 0.3, 0.25, 1)
+        bottom = top - thick * np.clip(TAPER_LEAST + (1 - TAPER_LEAST) * edge_distances(v, rings) / TAPER_WIDTH, TAPER_LEAST, 1)
     bottom = np.minimum(bottom, top - LEAST_THICKNESS * (cls != "negativa"))
     area, volume = prism(v, f, top, bottom) if len(f) else (0.0, 0.0)
     return {"v": v, "f": f, "top": top, "bottom": bottom, "area": area, "volume": volume, "strategia": how}
 
 
-def reconstruct(plans: DataFrame, levels: DataFrame, most_levels: int = 400) -> DataFrame:
+def reconstruct(plans: DataFrame, levels: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
     """(unita, classe, strategia, vertici, facce, area, volume) of units with a plan and levels.
 
-    ``plans``: (unita, classe, anelli), one row a unit; ``levels``: (unita, tipo, x, y, z). A unit's surface has
-    some hundred vertices, so levels are first averaged on a grid of their unit fine enough to leave at most
-    ``most_levels`` cells a kind: a unit with very many levels neither fills a task nor loses a level.
+    ``plans``: (unita, classe, anelli), one row a unit; ``levels``: (unita, tipo, x, y, z). All levels of a unit meet
+    in its task, but for units with more than ``most_levels``: those are averaged, kind by kind, on a grid of the
+    unit that leaves about that many cells over the middle 98 % of its extent (2 cm at least), so that a hot unit
+    neither fills a task nor loses a level, and a stray one does not stretch the grid.
     """
-    ext = levels.where("unita is not null and x is not null and y is not null and z is not null").groupBy(F.col("unita").alias("__u")).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("__s"))
-    side = F.greatest(F.lit(DEDUPE), F.col("__s") / math.sqrt(most_levels))
-    cell = levels.where("unita is not null and x is not null and y is not null and z is not null").join(ext, F.col("unita") == F.col("__u")).groupBy("unita", "tipo", F.floor((F.col("x") - F.col("__x")) / side).alias("cx"), F.floor((F.col("y") - F.col("__y")) / side).alias("cy"))
-    thin = cell.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")).select("unita", "tipo", "x", "y", "z")
+    placed = levels.where("unita is not null and x is not null and y is not null and z is not null").select("unita", "tipo", "x", "y", "z")
+    many = placed.groupBy(F.col("unita").alias("__u")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_levels).select("__u").collect()  # one of most_levels rows at most
+    thin = placed
+    if many:
+        hot = F.col("unita").isin([r["__u"] for r in many])
+        p = lambda c, q: F.percentile_approx(c, q, 1000)
+        ext = placed.where(hot).groupBy(F.col("unita").alias("__u")).agg(F.greatest(p("x", 0.99) - p("x", 0.01), p("y", 0.99) - p("y", 0.01)).alias("__s"))
+        side = F.greatest(F.lit(DEDUPE), F.col("__s") / math.sqrt(most_levels))
+        cell = placed.where(hot).join(F.broadcast(ext), F.col("unita") == F.col("__u")).groupBy("unita", "tipo", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+        thin = placed.where(~hot).unionByName(cell.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")).select("unita", "tipo", "x", "y", "z"))
 
     vertex = pa.struct([(c, pa.float64()) for c in ("x", "y", "alto", "basso")])
     out = pa.schema([("unita", pa.int64()), ("classe", pa.string()), ("strategia", pa.string()), ("vertici", pa.list_(vertex)), ("facce", pa.list_(pa.list_(pa.int32()))), ("area", pa.float64()), ("volume", pa.float64())])
 
     def run(p: pa.Table, q: pa.Table) -> pa.Table:
-        rows, known = [], q.to_pandas()
+        rows, known = [], q.to_pandas().sort_values(["tipo", "x", "y", "z"], kind="stable")  # which duplicate is the first does not depend on the shuffle
         for r in p.to_pylist() if len(known) else []:
             parts = [np.array([[v["x"], v["y"]] for v in ring if v and v["x"] is not None and v["y"] is not None], float) for ring in r["anelli"] or [] if ring]
             parts = [x for x in parts if len(x) > 2]

@@ -53,9 +53,13 @@ WHERE unita IS NOT NULL GROUP BY campo, unita"""
 NEAR = 0.0505
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def p2(spark: SparkSession, d: str, cases: tuple[str, ...]) -> DataFrame:
     q = table(spark, d, "quote_rilevate").withColumn("senza", F.col("us").isNull())
-    return spatial.near_and_within(q, table(spark, d, "us_poligoni"), NEAR, key="riga", space="sito", ident="id", x="x", y="y", free="senza", unit="us", rings="anelli")
+    return spatial.near_and_within(q, table(spark, d, "us_poligoni"), NEAR, key="riga", space="sito", ident="id", x="x", y="y", free="senza", unit="us", rings="anelli", cases=cases)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2(spark, d, ("vicino", "dentro"))
 
 
 P2_SQL = """

@@ -9,7 +9,7 @@ from ..operators import geometry as G
 from ..operators import relational as R
 from ..operators import spatial
 from ..session import table
-from .archive import P2_SQL, p2_found
+from .archive import P2_SQL, p2
 from .relational_queries import LEVELS, levels
 
 QUERIES = {}
@@ -37,13 +37,13 @@ def plans(spark, d):
 @query(f"SELECT a AS riga, min(b) AS us FROM ({P2_SQL}) WHERE caso = 'dentro' GROUP BY a HAVING count(*) = 1")
 def e07_unit_of_level(spark, d):
     """Levels without unit get the one unit whose plan contains them, if it is the only one."""
-    hit = p2_found(spark, d).where("caso = 'dentro'")
+    hit = p2(spark, d, ("dentro",))
     return hit.groupBy(F.col("a").alias("riga")).agg(F.min("b").alias("us"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
 @query(f"SELECT b AS us, min(a) AS primo, count(*) AS quote FROM ({P2_SQL}) WHERE caso = 'dentro' GROUP BY b")
 def e08_first_label(spark, d):
-    hit = p2_found(spark, d).where("caso = 'dentro'")
+    hit = p2(spark, d, ("dentro",))
     return hit.groupBy(F.col("b").alias("us")).agg(F.min("a").alias("primo"), F.count(F.lit(1)).alias("quote"))
 
 
@@ -143,6 +143,8 @@ def n15_far_levels(spark, d):
     return G.far_levels(levels(spark, d).select("riga", "unita", "x", "y"), p).select("riga", F.round("distanza", 3).alias("distanza"))
 
 
-@query("SELECT x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0.0, 0.0), (0.25, 0.15625), (0.5, 0.5), (1.0, 1.0), (1.5, 1.0), (-1.0, 0.0)) t(x, y)")
+@query("SELECT riga, round(t * t * (3 - 2 * t), 9) AS y FROM (SELECT riga, greatest(0, least(1, area_m2 / 20)) AS t FROM us_poligoni WHERE area_m2 IS NOT NULL AND NOT isnan(area_m2))")
 def k18_smoothstep(spark, d):
-    return spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,), (1.5,), (-1.0,)], "x double").select("x", S.smoothstep(F.col("x")).alias("y"))
+    """Plan areas, faded between 0 and 20 square metres."""
+    u = table(spark, d, "us_poligoni").where("area_m2 is not null and not isnan(area_m2)")
+    return u.select("riga", F.round(S.smoothstep(F.col("area_m2") / 20), 9).alias("y"))

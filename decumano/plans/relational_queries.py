@@ -375,7 +375,10 @@ def f14_dominant_value(spark, d):
     return g.select("sito", "s.periodo", "s.n", (F.col("s.n") >= F.col("t") * 0.7).alias("maggioranza"))
 
 
-@query("SELECT context AS unita, sha256(string_agg(riga::VARCHAR || '|' || coalesce(material, ''), chr(10) ORDER BY riga::VARCHAR || '|' || coalesce(material, ''))) AS impronta FROM finds WHERE context IS NOT NULL GROUP BY context")
+@query("""
+WITH l AS (SELECT context, riga::VARCHAR || '|' || coalesce(material, '') AS line FROM finds WHERE context IS NOT NULL),
+p AS (SELECT context, md5(line)[1:3] AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM l GROUP BY 1, 2)
+SELECT context AS unita, sha256(string_agg(h, chr(10) ORDER BY part)) AS impronta FROM p GROUP BY context""")
 def f17_fingerprints(spark, d):
     return R.fingerprints(table(spark, d, "finds").where("context is not null"), "context", [F.col("riga"), F.col("material")]).withColumnRenamed("context", "unita")
 

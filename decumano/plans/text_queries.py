@@ -34,13 +34,31 @@ def k01_not_understood(spark, d):
     return G.unmatched(typed(spark, d), wordings(spark, d)).withColumnRenamed("phrase", "frase")
 
 
-@query("""
-SELECT riga, 'copre' AS rel, false AS inversa, context AS unita FROM relations WHERE context IS NOT NULL AND related_context IS NOT NULL
-UNION ALL SELECT riga, 'copre', false, related_context FROM relations WHERE context IS NOT NULL AND related_context IS NOT NULL
-UNION ALL SELECT riga, 'taglia', true, unnest(range(context, context + 4)) FROM relations WHERE context IS NOT NULL AND related_context IS NOT NULL""")
+#: Texts in five languages, with signs, conjunctions and ranges; {a} and {b} are units. What each says: (relation, ends swapped, unit).
+_TEXTS = [
+    ("Copre {a}, {b}; tagliato da {a}-{a3}.", [("copre", False, "a"), ("copre", False, "b"), *(("taglia", True, f"a + {k}") for k in range(4))]),
+    ("Cut by {a} and {b}. Same as {a}; fills {b} (see 2nd page)", [("taglia", True, "a"), ("taglia", True, "b"), ("uguale a", False, "a"), ("riempie", False, "b"), ("riempie", False, "2")]),
+    ("recouvre {a} et {b} ; entaillé par {b}, s'appuie contre US {a}b", [("copre", False, "a"), ("copre", False, "b"), ("taglia", True, "b"), ("si appoggia a", False, "a")]),
+    ("Schneidet {a}/{b}; verfüllt von {b}, liegt unter {a}", [("taglia", False, "a"), ("taglia", False, "b"), ("riempie", True, "b"), ("copre", True, "a")]),
+    ("CUBRE {a} y {b} - cortado por {a}, se le apoya {b}", [("copre", False, "a"), ("copre", False, "b"), ("taglia", True, "a"), ("si appoggia a", True, "b")]),
+    ("> {a}, < {b} = {a}; ricopre nulla {b}", [("copre", False, "a"), ("copre", True, "b"), ("uguale a", False, "a"), ("uguale a", False, "b")]),
+]
+
+
+@query("\nUNION ALL ".join(
+    f"SELECT riga, '{rel}' AS rel, {str(inv).lower()} AS inversa, CAST({u.replace('a', 'context').replace('b', 'related_context') if u in 'ab' else u.replace('a', 'context')} AS BIGINT) AS unita FROM relations WHERE riga % {len(_TEXTS)} = {i} AND context IS NOT NULL AND related_context IS NOT NULL"
+    for i, (_, says) in enumerate(_TEXTS) for rel, inv, u in says
+))
 def k02_relations_in_text(spark, d):
-    t = typed(spark, d).where("a is not null and b is not null").select("riga", F.concat(F.lit("Copre "), "a", F.lit(", "), "b", F.lit("; tagliato da "), "a", F.lit("-"), (F.col("a") + 3).cast("string"), F.lit(".")).alias("t"))
-    return t.select("riga", F.explode(S.relations_in_text(F.col("t"))).alias("r")).select("riga", "r.*")
+    t = typed(spark, d).where("a is not null and b is not null")
+    parts = {"a": F.col("a").cast("string"), "b": F.col("b").cast("string"), "a3": (F.col("a") + 3).cast("string")}
+    text = None
+    for i, (template, _) in enumerate(_TEXTS):
+        one = F.lit(template)
+        for k, c in parts.items():
+            one = F.replace(one, F.lit("{" + k + "}"), c)
+        text = F.when(F.col("riga") % len(_TEXTS) == i, one) if text is None else text.when(F.col("riga") % len(_TEXTS) == i, one)
+    return t.select("riga", F.explode(S.relations_in_text(text)).alias("r")).select("riga", "r.*")
 
 
 @query("SELECT riga, 'copre' AS rel, false AS inversa, context AS unita FROM relations WHERE context IS NOT NULL UNION ALL SELECT riga, 'riempie', true, related_context FROM relations WHERE context IS NOT NULL AND related_context IS NOT NULL")
@@ -102,13 +120,19 @@ def k10_dates_of_files(spark, d):
     return q.select("riga", S.ddmm_date(F.concat(F.lit("DEM_12_"), F.date_format("rilevato", "ddMM"), F.lit("_b.tif")), F.year("rilevato")).alias("data"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '1:[0-9]+')) AS scale, len(regexp_extract_all(text, '[0-9]{1,2}:[0-9]{2}')) AS ore FROM documents")
+_MASKED = "text"
+for _rx in (r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", r"1:[0-9]+", r"[0-9]+\s*(?i:dpi|px|ppi)", r"(?i:img|dsc|dscn|foto|photo)[_ -]*[0-9]+", r"(?i:tav|tavola|sheet|fig)[._ -]*[0-9]+"):
+    _MASKED = f"regexp_replace({_MASKED}, '{_rx}', '#', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(length({_MASKED}) - length(replace({_MASKED}, '#', '')) - (length(text) - length(replace(text, '#', ''))) AS BIGINT) AS coperti FROM documents WHERE text IS NOT NULL")
 def k17_masked_counts(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(t, F.lit("(1:[0-9]+)"), 1)).cast("bigint").alias("scale"), F.size(F.regexp_extract_all(t, F.lit("([0-9]{1,2}:[0-9]{2})"), 1)).cast("bigint").alias("ore"))
+    """How many dates, scales, resolutions and counters of each document are masked."""
+    signs = lambda c: F.length(c) - F.length(F.replace(c, F.lit("#"), F.lit("")))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", (signs(S.mask_noise(F.col("text"))) - signs(F.col("text"))).cast("bigint").alias("coperti"))
 
 
-@query()
+@query(rf"SELECT doc_id, regexp_extract_all({_MASKED}, '\b([0-9]{{4,7}})\b', 1) AS numeri FROM documents")
 def k17_masked_texts(spark, d):
     """Bare numbers that are left once dates, scales and counters are masked."""
     t = S.mask_noise(F.col("text"))

@@ -43,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not named:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="decumano-ck-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(named)

@@ -180,6 +180,41 @@ def test_kriging_mesh_and_volume():
     assert max(e.values()) == 2
 
 
+def test_kriging_rules():
+    xy = np.array([[0.0, 0.0], [0.01, 0.0], [5.0, 5.0]])
+    assert surfaces.apart(xy).tolist() == [True, False, True]
+    # On one line no plane is fitted; far from all samples the median is left.
+    line = np.array([[k * 0.5, 0.0] for k in range(9)])
+    z = np.array([1.0, 1, 1, 1, 2, 9, 9, 9, 9])
+    assert surfaces.krige(line, z, np.array([[500.0, 500.0]]))[0] == pytest.approx(2.0)
+    rnd = np.random.default_rng(2)
+    many = rnd.random((900, 2)) * 12
+    f = lambda p: np.sin(p[:, 0]) + 0.1 * p[:, 1]
+    to = rnd.random((60, 2)) * 12
+    assert np.abs(surfaces.krige(many, f(many), to, most=300) - surfaces.krige(many, f(many), to)).max() < 0.05
+    hull = rnd.random((300, 2))
+    t = surfaces.delaunay(hull)
+    for a, b, c in hull[t[:40]]:
+        m = np.array([b - a, c - a]) * 2
+        o = np.linalg.solve(m, [(b @ b) - (a @ a), (c @ c) - (a @ a)])
+        assert (np.linalg.norm(hull - o, axis=1) > np.linalg.norm(a - o) - 1e-9).all()
+
+
+def test_hot_unit_is_averaged_on_a_grid(spark):
+    sq = [[{"x": a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
+    p = spark.createDataFrame([(1, "deposito", sq)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
+    lv = spark.range(3000).selectExpr("1L as unita", "'sup' as tipo", "cast(id % 55 as double) * 0.037 as x", "cast(id div 55 as double) * 0.037 as y", "5.0D as z").unionByName(spark.sql("select 1L as unita, 'sup' as tipo, 900.0D as x, 1.0D as y, 5.0D as z"))
+    one = surfaces.reconstruct(p, lv, most_levels=500).first()
+    assert one.volume == pytest.approx(surfaces.reconstruct(p, lv).first().volume, rel=1e-6) and one.area == pytest.approx(4.0, rel=0.01)
+
+
+def test_fingerprints_ignore_the_order_and_labels_number_blanks(spark):
+    a = spark.range(3000).selectExpr("id % 3 as k", "id as v")
+    assert rows(relational.fingerprints(a, "k", [F.col("v")])) == rows(relational.fingerprints(a.orderBy(F.desc("v")).repartition(7), "k", [F.col("v")]))
+    d = spark.createDataFrame([(1, None), (2, "A"), (3, " "), (4, "A"), (5, "sezione 1")], "o int, n string")
+    assert [r.etichetta for r in relational.unique_labels(d, "n", "o", "sezione").orderBy("o").collect()] == ["sezione 1", "A", "sezione 2", "A (2)", "sezione 1 (2)"]
+
+
 def test_reconstruct_and_snap(spark):
     sq = lambda x: [[{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
     p = spark.createDataFrame([(1, "deposito", sq(0.0)), (2, "deposito", sq(0.0)), (3, "muraria", sq(9.0)), (4, "x", None)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")

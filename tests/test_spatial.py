@@ -77,3 +77,15 @@ def test_rtree_finds_what_a_scan_finds():
     got = {(int(a), int(b)) for q, n in tree.probe(s, x, y, x, y) for a, b in zip(q, n)}
     want = {(i, j) for i in range(1000) for j in np.flatnonzero((s == s[i]) & (x <= x[i]) & (x + 0.01 >= x[i]) & (y <= y[i]) & (y + 0.01 >= y[i])).tolist()}
     assert got == want
+
+
+def test_one_case_alone_gives_its_rows(spark):
+    rnd = random.Random(5)
+    pts = spark.createDataFrame([(i, f"p{i}", "s", None if i % 3 else 1, rnd.random(), rnd.random(), None, None) for i in range(400)], PTS)
+    reg = spark.createDataFrame([(7, "s", [[(0.1, 0.1), (0.9, 0.1), (0.9, 0.9)]], None)], REG)
+    from pyspark.sql import functions as F
+
+    q = pts.withColumn("free", F.col("us").isNull())
+    ask = lambda *c: {tuple(r) for r in P.near_and_within(q, reg, 0.05, key="riga", space="sito", ident="id", x="x", y="y", free="free", unit="us", rings="anelli", cases=c).collect()}
+    both = ask("vicino", "dentro")
+    assert ask("dentro") == {r for r in both if r[0] == "dentro"} and ask("vicino") == {r for r in both if r[0] == "vicino"} and len(both) > 100
