@@ -339,7 +339,7 @@ def unique_labels(df: DataFrame, name: str, order: str, blank: str) -> DataFrame
     """Blank names become '<blank> i', repeated ones 'name (k)', k by ``order``; blanks are numbered without one window over all."""
     own = blank_to_null(F.col(name))
     named = df.where(own.isNotNull()).withColumn("__b", own)
-    blanks = row_numbers(df.where(own.isNull()), "__i", F.col(order)).withColumn("__b", F.concat(F.lit(blank + " "), F.col("__i").cast("string"))).drop("__i")
+    blanks = row_numbers(df.where(own.isNull()), "__blank", F.col(order)).withColumn("__b", F.concat(F.lit(blank + " "), F.col("__blank").cast("string"))).drop("__blank")
     k = F.row_number().over(Window.partitionBy("__b").orderBy(order))
     both = named.unionByName(blanks)
     return both.withColumn("etichetta", F.when(k == 1, F.col("__b")).otherwise(F.concat("__b", F.lit(" ("), k.cast("string"), F.lit(")")))).drop("__b")

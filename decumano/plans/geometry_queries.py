@@ -57,11 +57,9 @@ def f03_plan_areas(spark, d):
 
 @query(f"""
 WITH {LEVELS}, {VERT}, c AS (SELECT riga AS id, sito, avg(x) AS x, avg(y) AS y FROM v GROUP BY riga, sito),
-p AS (SELECT riga, sito, x, y, z, CAST(floor(x / 2) AS BIGINT) AS gx, CAST(floor(y / 2) AS BIGINT) AS gy FROM levels WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
-o AS (SELECT i, j FROM range(-1, 2) AS t(i), range(-1, 2) AS u(j)), t AS (SELECT c.*, CAST(floor(x / 2) AS BIGINT) + i AS gx, CAST(floor(y / 2) AS BIGINT) + j AS gy FROM c, o),
-n AS (SELECT t.id, p.riga, p.z, sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) AS d FROM t JOIN p ON t.sito = p.sito AND t.gx = p.gx AND t.gy = p.gy WHERE sqrt(pow(p.x - t.x, 2) + pow(p.y - t.y, 2)) <= 2),
-k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, riga) <= 12)
-SELECT id, round(sum(z / (d * d + 0.0025)) / sum(1 / (d * d + 0.0025)), 3) AS z, round(min(d), 4) AS d_min, count(*) AS n FROM k GROUP BY id""")
+p AS (SELECT riga, sito, x, y, z FROM levels WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
+k AS (SELECT c.id, p.riga, p.z, sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)) AS d FROM c JOIN p ON c.sito = p.sito QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2)), p.riga) <= 12)
+SELECT id, round(sum(z / (d * d + 4)) / sum(1 / (d * d + 4)), 3) AS z, round(min(d), 4) AS d_min, count(*) AS n FROM k GROUP BY id""")
 def e18_heights_by_distance(spark, d):
     """Height at the middle of each plan, from the 12 nearest levels of its site, however far, or all it has."""
     v = plans(spark, d).select(F.col("riga").alias("id"), F.col("sito").alias("space"), F.explode(F.flatten("anelli")).alias("p"))
@@ -71,10 +69,10 @@ def e18_heights_by_distance(spark, d):
 
 
 @query(f"""
-WITH {LEVELS}, p AS (SELECT riga, sito, x, y, z, CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy FROM levels WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
+WITH {LEVELS}, p AS (SELECT riga, sito, x, y, z, CAST(floor(x / 15) AS BIGINT) AS gx, CAST(floor(y / 15) AS BIGINT) AS gy FROM levels WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
 o AS (SELECT i, j FROM range(-1, 2) AS t(i), range(-1, 2) AS u(j)), t AS (SELECT p.riga, p.sito, p.x, p.y, p.z, gx + i AS gx, gy + j AS gy FROM p, o),
 n AS (SELECT t.riga, t.z, q.z AS nz, row_number() OVER (PARTITION BY t.riga ORDER BY (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y), q.riga) AS k
-  FROM t JOIN p q ON t.sito = q.sito AND t.gx = q.gx AND t.gy = q.gy WHERE t.riga <> q.riga AND (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) <= 1),
+  FROM t JOIN p q ON t.sito = q.sito AND t.gx = q.gx AND t.gy = q.gy WHERE t.riga <> q.riga AND (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) <= 225),
 k AS (SELECT riga, z, nz, median(nz) OVER (PARTITION BY riga) AS m FROM n WHERE k <= 12)
 SELECT riga, count(*) AS vicini, round(any_value(m), 4) AS mediana FROM k GROUP BY riga HAVING count(*) >= 4 AND any_value(z) < any_value(m) - greatest(0.10, median(abs(nz - m)) * 3 * 1.4826)""")
 def d06_low_outliers(spark, d):

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of all files below ``path``; unread columns are not loaded."""
@@ -266,7 +268,7 @@ def obj_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     v = line.where("l like 'v %'").select("path", "pos", F.row_number().over(w).alias("n"), num(1).alias("x"), num(2).alias("y"), num(3).alias("z"))
     seen = F.sum(F.col("l").startswith("v ").cast("int")).over(w)
     f = line.where("l like 'v %' or l like 'f %'").withColumn("before", seen).where("l like 'f %'")
-    ids = F.transform(F.filter(F.slice(F.split(F.trim("l"), r"\s+"), 2, 10_000), lambda s: s != ""), lambda s: F.split(s, "/")[0].try_cast("int"))
+    ids = F.transform(F.filter(F.slice(F.split(F.trim("l"), r"\s+"), F.lit(2), F.size(F.split(F.trim("l"), r"\s+"))), lambda s: s != ""), lambda s: F.split(s, "/")[0].try_cast("int"))
     f = f.select("path", "pos", F.transform(ids, lambda i: F.when(i < 0, F.col("before") + 1 + i).otherwise(i)).alias("i"))
     tri = f.where("size(i) > 2").select("path", "pos", "i", F.explode(F.sequence(F.lit(1), F.size("i") - 2)).alias("k"))
     faces = tri.select("path", F.row_number().over(Window.partitionBy("path").orderBy("pos", "k")).alias("faccia"), F.col("i")[0].alias("a"), F.element_at("i", F.col("k") + 1).alias("b"), F.element_at("i", F.col("k") + 2).alias("c"))
@@ -424,26 +426,31 @@ def raster_tiles(spark: SparkSession, path: str, side: int = 256, cell: float |
 
 
 def sample_tiles(tiles: DataFrame, points: DataFrame, side: int = 256) -> DataFrame:
-    """(id, z): bilinear height of points in a tiled raster, over the valid ones of the four cells around.
+    """(id, path, z): bilinear height of points in each tiled raster that holds them, over the valid ones of the four cells around.
 
-    ``points``: (id, x, y). The four cells are looked up by equality of tile, clamped at the edges; weights
-    of void cells go to the others; a point with four void cells, or off the raster, has no height.
+    ``points``: (id, x, y). Points meet the rasters by equality of a coarse cell as wide as the widest raster, which
+    each raster touches at most four of, then by extent; the four cells by equality of raster and tile, clamped at the
+    edges. Weights of void cells go to the others; a point with four void cells, or off a raster, has no height in it.
     """
     h = tiles.groupBy("path").agg(F.min("x0").alias("ox"), F.max("y0").alias("oy"), F.first("sx").alias("sx"), F.first("sy").alias("sy"), F.max(F.col("tc") * side + F.col("colonne")).alias("nc"), F.max(F.col("tr") * side + F.col("righe")).alias("nr"))
-    p = points.crossJoin(F.broadcast(h.limit(1)))  # one header row
+    h = cut(h)
+    wide = h.agg(F.max(F.greatest(F.col("sx") * F.col("nc"), F.col("sy") * F.col("nr")))).first()[0] or 1.0
+    cell = lambda c: F.floor(c / wide)
+    x1, y0 = F.col("ox") + F.col("sx") * F.col("nc"), F.col("oy") - F.col("sy") * F.col("nr")
+    h = h.withColumn("bx", F.explode(F.sequence(cell(F.col("ox")), cell(x1)))).withColumn("by", F.explode(F.sequence(cell(y0), cell(F.col("oy")))))
+    p = points.where("x is not null and y is not null").withColumn("bx", cell(F.col("x"))).withColumn("by", cell(F.col("y"))).join(h, ["bx", "by"])
     u, v = (F.col("x") - F.col("ox")) / F.col("sx") - 0.5, (F.col("oy") - F.col("y")) / F.col("sy") - 0.5
     p = p.withColumn("u", u).withColumn("v", v).where("u >= -0.5 and v >= -0.5 and u <= nc - 0.5 and v <= nr - 0.5")
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
-    p = p.select("id", "u", "v", "nc", "nr", corner.alias("k"))
+    p = p.select("id", "path", "u", "v", "nc", "nr", corner.alias("k"))
     c, r = F.greatest(F.lit(0), F.least(F.col("nc") - 1, F.floor("u") + F.col("k.i"))), F.greatest(F.lit(0), F.least(F.col("nr") - 1, F.floor("v") + F.col("k.j")))
     fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
     w = F.when(F.col("k.i") == 1, fu).otherwise(1 - fu) * F.when(F.col("k.j") == 1, fv).otherwise(1 - fv)
-    p = p.select("id", c.alias("c"), r.alias("r"), w.alias("w")).withColumn("a", F.floor(F.col("r") / side).cast("int")).withColumn("b", F.floor(F.col("c") / side).cast("int"))
-    t = tiles.select("tr", "tc", "colonne", "z")
-    j = p.join(t, (F.col("a") == F.col("tr")) & (F.col("b") == F.col("tc")))
-    z = F.element_at("z", ((F.col("r") - F.col("a") * side) * F.col("colonne") + (F.col("c") - F.col("b") * side) + 1).cast("int"))
-    g = j.withColumn("zz", z).where("zz is not null").groupBy("id").agg(F.sum(F.col("zz") * (F.col("w") + 1e-12)).alias("s"), F.sum(F.col("w") + 1e-12).alias("w"))
-    return g.select("id", (F.col("s") / F.col("w")).alias("z"))
+    p = p.select("id", "path", c.alias("c"), r.alias("r"), w.alias("w")).withColumn("tr", F.floor(F.col("r") / side).cast("int")).withColumn("tc", F.floor(F.col("c") / side).cast("int"))
+    j = p.join(tiles.select("path", "tr", "tc", "colonne", "z"), ["path", "tr", "tc"])
+    z = F.element_at("z", ((F.col("r") - F.col("tr") * side) * F.col("colonne") + (F.col("c") - F.col("tc") * side) + 1).cast("int"))
+    g = j.withColumn("zz", z).where("zz is not null").groupBy("id", "path").agg(F.sum(F.col("zz") * (F.col("w") + 1e-12)).alias("s"), F.sum(F.col("w") + 1e-12).alias("w"))
+    return g.select("id", "path", (F.col("s") / F.col("w")).alias("z"))
 
 
 # Inventory

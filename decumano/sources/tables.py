@@ -38,17 +38,27 @@ def sniff(head: bytes) -> tuple[str, str]:
     return best, {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[enc]
 
 
+def _single_byte(content: bytes) -> str:
+    """cp1252, or Latin-1 where a byte has no meaning in it."""
+    try:
+        return content.decode("cp1252")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
 def read_table(spark: SparkSession, path: str, head_bytes: int = 65536) -> DataFrame:
     """A delimited file with sniffed separator and encoding, all columns as text.
 
-    UTF-8 and Latin-1 go to the engine's reader. It takes no cp1252: such a file is decoded and split by one task.
+    The separator is that of the first lines; whether the file is UTF-8 is decided on all of it. UTF-8 and Latin-1 go to the engine's reader. It takes no cp1252: such a file is decoded and split by one task.
     """
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head_bytes).alias("h")).first()
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head_bytes).alias("h"), F.is_valid_utf8(F.col("content")).alias("utf8")).first()
     sep, enc = sniff(bytes(first["h"]) if first else b"")
+    if first and enc == "UTF-8" and not first["utf8"]:
+        enc = "windows-1252"
     if enc == "windows-1252":
 
         def split(content: bytes) -> Iterator[tuple]:
-            for i, row in enumerate(csv.reader(io.StringIO(content.decode("cp1252"), newline=""), delimiter=sep)):
+            for i, row in enumerate(csv.reader(io.StringIO(_single_byte(content), newline=""), delimiter=sep)):
                 yield i, row
 
         cells = parsed(files(spark, path), split, "i int, r array<string>")
@@ -121,14 +131,10 @@ class SqliteTable(DataSource):
     def _columns(self) -> list[str]:
         path, table = self.options["path"], self.options["table"]
         with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+            c.create_function("is_text", 1, _is_text)
             names = [r[1] for r in c.execute(f'pragma table_info("{table}")')]
-            keep = []
-            for n in names:
-                blobs = [r[0] for r in c.execute(f'select "{n}" from "{table}" where typeof("{n}") = \'blob\' limit 50')]
-                good = sum(_is_text(b) for b in blobs)
-                if not blobs or good >= 0.9 * len(blobs):
-                    keep.append(n)
-        return keep
+            share = {n: c.execute(f'select avg(is_text("{n}")) from "{table}" where typeof("{n}") = \'blob\'').fetchone()[0] for n in names}
+        return [n for n in names if share[n] is None or share[n] >= 0.9]
 
     def schema(self) -> str:
         return ", ".join(f"`{c}` string" for c in self._columns())

@@ -126,6 +126,18 @@ def test_raster_plane_with_a_hole(spark, tmp_path):
     z = {r.id: r.z for r in B.sample_tiles(t, pts, side=5).collect()}
     assert z[1] == pytest.approx(51.1, abs=1e-4) and z[2] == pytest.approx(51.2, abs=1e-4) and 4 not in z and z[5] == pytest.approx(50.233, abs=1e-2)
     assert B.raster_tiles(spark, str(tmp_path), cell=4.0).first().sx == 4.0
+    # A second raster in the folder, twice as coarse, elsewhere but for a strip: heights are not mixed.
+    (tmp_path / "due.tif").write_bytes(tiff(np.full((12, 12), 7.0), 1020.0, 2020.0, 4.0, -9999))
+    both = {(r.id, r.path.rsplit("/", 1)[-1]): r.z for r in B.sample_tiles(B.raster_tiles(spark, str(tmp_path), side=5), spark.createDataFrame([(1, 1011.0, 2010.0), (6, 1022.0, 2010.0), (7, 1060.0, 2000.0)], "id int, x double, y double"), side=5).collect()}
+    assert both == {(1, "dem.tif"): pytest.approx(51.1, abs=1e-4), (6, "dem.tif"): pytest.approx(52.2, abs=1e-4), (6, "due.tif"): pytest.approx(7.0), (7, "due.tif"): pytest.approx(7.0)}
+
+
+def test_a_late_byte_decides_the_encoding(spark, tmp_path):
+    from decumano.sources import tables
+
+    (tmp_path / "t.csv").write_bytes(b"a,b\n" + b"uno,due\n" * 20_000 + "perché,sì\n".encode("cp1252"))
+    d = tables.read_table(spark, str(tmp_path / "t.csv"))
+    assert d.count() == 20_001 and d.where("b = 'sì' and a = 'perché'").count() == 1
 
 
 def test_inventory_fingerprints_project_and_cache(spark, tmp_path):
