@@ -252,6 +252,9 @@ def strong_components(edges: DataFrame, most: int = MOST_SEARCHED) -> DataFrame:
     return small.unionByName(by_colour(e.join(big, e.gruppo == big["__g"], "left_semi").select("a", "b")))
 
 
+strong_components_by_search = strong_components
+
+
 def by_colour(edges: DataFrame) -> DataFrame:
     """(nodo, gruppo) of the strong components of two or more nodes, by forward-backward colouring.
 

@@ -149,11 +149,18 @@ def j11_inferred_edges(spark, d):
 
 
 @query(f"WITH RECURSIVE {CONDENSED} SELECT a, b FROM e")
-def j12_condensed(spark, d):
+def j12_condensed_sequence(spark, d):
     """The archive's sequence with contemporary units and cycles contracted: no cycle is left."""
     return condensed(spark, d)[0]
 
 
+@query()
+def j12_condensed(spark, d):
+    """The archive's links (grafo and the principal rows) with contemporary units and cycles contracted: no cycle is left."""
+    g = table(spark, d, "grafo").select("a", "b").unionByName(table(spark, d, "relations").where("principale").select(F.col("context").alias("a"), F.col("related_context").alias("b")))
+    return G.condense(g.where("a <> b").distinct(), G.normalise(typed(spark, d))[1])[0]
+
+
 @query(f"""
 WITH RECURSIVE {NORMAL}, m AS (SELECT DISTINCT usm AS nodo FROM usm WHERE usm IS NOT NULL),
 n AS (SELECT a, b FROM pairs WHERE a IN (SELECT nodo FROM m) AND b IN (SELECT nodo FROM m) UNION SELECT b, a FROM pairs WHERE a IN (SELECT nodo FROM m) AND b IN (SELECT nodo FROM m)),
