@@ -200,6 +200,66 @@ def test_kriging_rules():
         assert (np.linalg.norm(hull - o, axis=1) > np.linalg.norm(a - o) - 1e-9).all()
 
 
+def test_plans_triangulated_together_equal_one_by_one():
+    rnd = np.random.default_rng(5)
+    plans = []
+    for k in range(60):
+        a = np.sort(rnd.random(5 + k % 9)) * 2 * np.pi
+        star = np.stack([np.cos(a), np.sin(a)], 1) * (0.4 + rnd.random(len(a)))[:, None] * (0.5 + k % 4) + np.array([1675979.493, 4721296.978]) * (k % 2)
+        plans.append([np.round(star, 3)])
+    sq = lambda x, y, s: np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s]], float)
+    # A hole, two parts, a hole in clockwise order, one thin plan, a plan without area, and one as wide as a country.
+    plans += [[sq(0, 0, 3), sq(1, 1, 1)], [sq(0, 0, 1), sq(2, 0, 1.3)], [sq(0, 0, 3), sq(1, 1, 1)[::-1]], [np.array([[0, 0], [4, 0.01], [4, 0.03], [0, 0.02]])], [np.array([[0, 0], [1, 1], [2, 2.0]])], [sq(0, 0, 700)]]
+    quick = 0
+    for rings, got, (v, f) in zip(plans, surfaces._meshes(plans), surfaces.meshes(plans)):
+        w, g = surfaces.mesh(rings)
+        assert sorted(map(tuple, np.round(v, 6).tolist())) == sorted(map(tuple, np.round(w, 6).tolist()))
+        if got is None:
+            assert np.array_equal(f, g)
+            continue
+        quick += 1
+        around = sum(np.linalg.norm(r - np.roll(r, -1, 0), axis=1).sum() for r in rings)
+        assert abs(surfaces.prism(v, f, np.ones(len(v)), np.zeros(len(v)))[0] - surfaces.area_of(rings)) <= 0.002 * around
+        # Each inner edge has two triangles, and no corner of one lies in the circle of the other.
+        at = {}
+        for t in f.tolist():
+            for i in range(3):
+                at[t[i], t[(i + 1) % 3]] = t[(i + 2) % 3]
+        assert len(at) == 3 * len(f)
+        p = np.round((v - v[0]) / 0.002)
+        for (a, b), c in at.items():
+            if (b, a) in at:
+                m = np.array([[*(p[i] - p[at[b, a]]), ((p[i] - p[at[b, a]]) ** 2).sum()] for i in (a, b, c)])
+                assert np.linalg.det(m) <= 1e-6 * np.abs(m).max() ** 1.5
+    assert quick >= len(plans) - 6  # the others, with sides that are no Delaunay edges, went through ``mesh``
+
+
+def test_kriging_with_a_stray_sample_at_map_distance():
+    rnd = np.random.default_rng(3)
+    xy, to = rnd.random((7, 2)) * 3, rnd.random((40, 2)) * 3
+    z = rnd.random(7)
+    far = np.vstack([xy, [[1.6e6, 4.7e6]]])
+    a = surfaces.krige(far, np.append(z, np.median(z)), to)
+    q, r = far, min(max(2 * np.median(surfaces._nearest(far)), 0.45), 3.0)
+    base, tb = np.hstack([np.ones((8, 1)), q - q.mean(0)]), np.hstack([np.ones((40, 1)), to - q.mean(0)])
+    coef, *_ = np.linalg.lstsq(base, np.append(z, np.median(z)), rcond=None)
+    res = np.append(z, np.median(z)) - base @ coef
+    s2 = max(res.var(), 1e-4)
+    cov = lambda x: s2 * np.exp(-((x[:, None] - q[None]) ** 2).sum(-1) / r**2)
+    assert np.abs(a - tb @ coef - cov(to) @ np.linalg.solve(cov(q) + (0.003**2 + 1e-3 * s2) * np.eye(8), res)).max() < 1e-6
+
+
+def test_numbers_without_the_mesh_are_those_of_the_mesh(spark):
+    sq = lambda x: [[{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
+    p = spark.createDataFrame([(k, "negativa" if k % 3 else "deposito", sq(float(k))) for k in range(70)] + [(99, "x", None)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
+    lv = spark.range(420).selectExpr("id % 70 as unita", "case id % 4 when 0 then 'sup' when 1 then 'inf' when 2 then null else 'altro' end as tipo", "id % 70 + id % 11 * 0.2 as x", "id % 7 * 0.3 as y", "5 + id % 13 * 0.1 as z")
+    a = surfaces.reconstruct(p, lv, meshed=False).drop("classe")
+    b = surfaces.reconstruct(p, lv)
+    assert rows(a) == rows(b.select("unita", "strategia", F.size("vertici").alias("punti"), "area", "volume")) and a.count() == 70
+    by = geometry.prism_volumes(b, "strategia").groupBy("strategia").count()
+    assert rows(by) == rows(b.groupBy("strategia").count())
+
+
 def test_hot_unit_is_averaged_on_a_grid(spark):
     sq = [[{"x": a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
     p = spark.createDataFrame([(1, "deposito", sq)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
