@@ -44,6 +44,26 @@ def test_cascade_reports_direct_and_inherited(spark):
     assert orphans.orphan_cascade(r, units, links, 3).where("livello > 0").count() == 4
 
 
+def test_p3_found_comes_out_of_the_whole_cascade(spark, tmp_path, monkeypatch):
+    from decumano.plans import archive
+
+    lists = "array<array<struct<x: double, y: double>>>"
+    tables = {
+        "us_poligoni": spark.createDataFrame([(1, ts(1), None, None), (2, ts(1), None, None), (3, ts(1), None, None)], f"us bigint, inserito timestamp, eliminato timestamp, anelli {lists}"),
+        "usm": spark.createDataFrame([(4, ts(1), ts(5))], "usm bigint, inserito timestamp, eliminato timestamp"),
+        "relations": spark.createDataFrame([(1, 1, 999, True, ts(8)), (2, 2, 1, True, ts(8)), (3, 3, 2, True, ts(8)), (4, 3, 4, False, ts(8))], "riga bigint, context bigint, related_context bigint, principale boolean, registrato timestamp"),
+        "finds": spark.createDataFrame([(1, 3, ts(8)), (2, None, ts(8))], "riga bigint, context bigint, registrato timestamp"),
+        "grafo": spark.createDataFrame([(3, 1)], "a bigint, b bigint"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, levels = [], orphans.inherited_levels
+    monkeypatch.setattr(orphans, "inherited_levels", lambda *a: seen.append(levels(*a)) or seen[-1])
+    got = rows(archive.p3_found(spark, str(tmp_path)))
+    assert got == [("relations", "related_context", 1, "mancante", "2024-01"), ("relations", "related_context", 4, "eliminata", "2024-01")]
+    assert [dict(map(tuple, s.collect())) for s in seen] == [{1: 0, 2: 1, 3: 1}]
+
+
 def test_inherited_levels_against_breadth_first_search(spark):
     rnd = random.Random(11)
     for _ in range(3):
