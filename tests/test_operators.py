@@ -260,6 +260,12 @@ def test_numbers_without_the_mesh_are_those_of_the_mesh(spark):
     assert rows(by) == rows(b.groupBy("strategia").count())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_volumes_by_strategy_build_the_model_once(spark):
+    plan = __spark_entry__.queries()["f02_volumes_by_strategy"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CoGroup" not in plan
+
+
 def test_hot_unit_is_averaged_on_a_grid(spark):
     sq = [[{"x": a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
     p = spark.createDataFrame([(1, "deposito", sq)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
