@@ -266,6 +266,45 @@ def test_volumes_by_strategy_build_the_model_once(spark):
     assert plan.count("MapInArrow") == 1 and "CoGroup" not in plan
 
 
+def test_samples_fitted_together_give_what_kriging_gives():
+    rnd = np.random.default_rng(8)
+    home = np.array([1.6e6, 4.7e6])
+    sets = [np.hstack([home + rnd.random((n, 2)) * 4, 5 + rnd.random((n, 1))]) for n in (1, 2, 3, 4, 5, 7, 8, 9, 17, 33, 64, 65, 0)]
+    sets += [np.repeat(s, 3, 0) + [0.0, 0.0, 0.3] for s in sets[3:9]]  # doubles: the first stays
+    line = np.arange(12.0)[:, None] * [0.3, 0.2] + home
+    sets += [np.hstack([line, np.sin(line[:, :1])]), np.hstack([line + rnd.random((12, 2)) * 1e-2, rnd.random((12, 1))])]
+    sets += [np.vstack([sets[5], [np.nan, 0.0, 1.0]]), np.array([[0.0, 0.0, np.inf]]), np.vstack([[home[0] + 9e5, home[1], 5.0], sets[8]])]
+    to = home + rnd.random((50, 2)) * 4
+    placed, got = surfaces.around(to), surfaces.fits(sets)
+    assert [i for i, f in enumerate(got) if f is None] == [11, 12, len(sets) - 2]  # too many, none, none that is a number
+    for s, f in zip(sets, got):
+        if f is not None:
+            assert surfaces.fitted(f, *placed) == pytest.approx(surfaces.krige(s[:, :2], s[:, 2], to), abs=1e-6, rel=1e-6)
+
+
+def test_packed_meshes_have_the_volumes_of_the_nested(spark):
+    sq = lambda x: [[{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.5, 2.0), (0.0, 2.0))]]
+    p = spark.createDataFrame([(k, ("negativa", "", "muraria", None)[k % 4], [*sq(float(k)), None] if k == 5 else sq(float(k))) for k in range(40)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
+    lv = spark.range(400).selectExpr("id % 40 as unita", "case id % 3 when 0 then 'sup' when 1 then 'inf' else null end as tipo", "id % 40 + id % 11 * 0.2 as x", "id % 7 * 0.3 as y", "5 + id % 13 * 0.1 as z")
+    nested = {r.unita: r for r in surfaces.reconstruct(p, lv).collect()}
+    packed = geometry.prism_volumes(surfaces.reconstruct(p, lv, columns=surfaces.PACKED), "strategia").collect()
+    assert len(packed) == len(nested) == 40
+    for r in packed:
+        m = nested[r.unita]
+        assert (r.strategia, m.classe) == (m.strategia, ("negativa", "", "muraria", None)[r.unita % 4])
+        assert r.area == pytest.approx(m.area, rel=1e-9) and r.volume == pytest.approx(m.volume, rel=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_volumes_by_strategy_take_up_flat_meshes(spark):
+    df = __spark_entry__.queries()["f02_volumes_by_strategy"](spark, SF)
+    made = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x)
+    assert "terne" in made and "vertici" not in made and "volume" not in made
+    n = {(r.strategia, r.n): (r.area, r.volume) for r in __spark_entry__.queries()["n05_unit_volumes"](spark, SF).groupBy("strategia").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"), F.sum("volume").alias("volume")).collect()}
+    got = {(r.strategia, r.unita): (r.area, r.volume) for r in df.collect()}
+    assert set(got) == set(n) and all(got[k] == pytest.approx(n[k], abs=0.06 + 0.005 * k[1]) for k in n)
+
+
 def test_hot_unit_is_averaged_on_a_grid(spark):
     sq = [[{"x": a, "y": b} for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))]]
     p = spark.createDataFrame([(1, "deposito", sq)], "unita bigint, classe string, anelli array<array<struct<x: double, y: double>>>")
